@@ -37,8 +37,23 @@ def op9_pack_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_windows(table(spark, sf_dir, "documents"))
 
 
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that the network, fitted to the labels, takes for good, with their probability."""
+    from ledgerloom.llm.byte_cnn import KEEP, quality_scores, train
+
+    docs = table(spark, sf_dir, "documents")
+    return quality_scores(docs, train(docs, table(spark, sf_dir, "labels"))).where(f"probability >= {KEEP}")
+
+
+def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document in a group of near duplicates, with the smallest id of its group, which is the one that stays."""
+    from ledgerloom.llm.probminhash import duplicate_groups
+
+    return duplicate_groups(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_compression_rules, op3_bpe_encode, op8_token_counts, op9_pack_windows)}
+    return {f.__name__: f for f in (op2_compression_rules, op3_bpe_encode, op8_token_counts, op9_pack_windows, op10_quality_classifier, op6_near_duplicates)}
 
 
 def oracle_sql() -> dict[str, str]:
