@@ -52,8 +52,22 @@ def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return duplicate_groups(table(spark, sf_dir, "documents"))
 
 
+def op5_wavelet_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's ids, in shards that are wavelet matrices."""
+    from ledgerloom.llm.wavelet import wavelet_shards
+
+    return wavelet_shards(table(spark, sf_dir, "documents"))
+
+
+def op7_secret_novelty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every secret in every document."""
+    from ledgerloom.llm.secret_novelty import scan_secrets
+
+    return scan_secrets(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_compression_rules, op3_bpe_encode, op8_token_counts, op9_pack_windows, op10_quality_classifier, op6_near_duplicates)}
+    return {f.__name__: f for f in (op2_compression_rules, op3_bpe_encode, op8_token_counts, op9_pack_windows, op10_quality_classifier, op6_near_duplicates, op5_wavelet_shards, op7_secret_novelty)}
 
 
 def oracle_sql() -> dict[str, str]:
