@@ -66,9 +66,18 @@ def op7_secret_novelty(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(table(spark, sf_dir, "documents"))
 
 
+def op4_kdtree_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest other vectors of every vector."""
+    from ledgerloom.llm.kdtree_topk import top_k
+
+    return top_k(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_compression_rules, op3_bpe_encode, op8_token_counts, op9_pack_windows, op10_quality_classifier, op6_near_duplicates, op5_wavelet_shards, op7_secret_novelty)}
+    return {f.__name__: f for f in (op2_compression_rules, op3_bpe_encode, op8_token_counts, op9_pack_windows, op10_quality_classifier, op6_near_duplicates, op5_wavelet_shards, op7_secret_novelty, op4_kdtree_topk)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from ledgerloom.llm.kdtree_topk import TOP_K_SQL
+
+    return {"op4_kdtree_topk": TOP_K_SQL}
