@@ -9,6 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from ledgerloom.llm.common import table
 
 
+def op1_html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's main text and the labels of its blocks."""
+    from ledgerloom.llm.html_blocks import extract_text, train
+
+    pages = table(spark, sf_dir, "pages")
+    return extract_text(pages, train(pages))
+
+
 def op2_compression_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents that pass the compression bands, with their ratios."""
     from ledgerloom.llm.compression_rules import compression_metrics
@@ -74,7 +82,7 @@ def op4_kdtree_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_compression_rules, op3_bpe_encode, op8_token_counts, op9_pack_windows, op10_quality_classifier, op6_near_duplicates, op5_wavelet_shards, op7_secret_novelty, op4_kdtree_topk)}
+    return {f.__name__: f for f in (op1_html_blocks, op2_compression_rules, op3_bpe_encode, op8_token_counts, op9_pack_windows, op10_quality_classifier, op6_near_duplicates, op5_wavelet_shards, op7_secret_novelty, op4_kdtree_topk)}
 
 
 def oracle_sql() -> dict[str, str]:
