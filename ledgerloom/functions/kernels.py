@@ -1,0 +1,509 @@
+"""Look-ahead scans on strings, rows and tables that Column expressions can't state, as plain functions.
+
+They run inside Arrow UDFs (see ``operators.tables`` and ``operators.repair``), never one row at a time across the JVM.
+"""
+
+from __future__ import annotations
+
+import re
+from collections import Counter
+from difflib import SequenceMatcher
+from itertools import groupby
+
+Row = list[str]
+Table = list[Row]
+
+CURRENCIES = frozenset("$€£")
+DASHES = frozenset("—–-")
+NOTE_REF = re.compile(r"\d\d?(?:\s*[,]\s*\d\d?)*")
+OPEN_NEGATIVE = re.compile(r"\([,\d]+[.]?\d*")
+MONTH_NAMES = "January February March April May June July August September October November December".split()
+MONTHS = "|".join(MONTH_NAMES)
+AMOUNT = r"[,\d]+[.]?\d*"
+VALUE = re.compile(rf"(?:\$\s*)?(?:\({AMOUNT}\)|{AMOUNT}|[–—])%?")
+S, DAY = r"\s+", r"\d\d?,?"
+DATED = re.compile(rf"(?i)(?:{MONTHS}|{'|'.join(m[:3] for m in MONTH_NAMES)}){S}{DAY}{S}\d{{4}}")
+WIDE, REFERENCE_ROWS, LEAST_ANCHORS = 10, 3, 3
+
+
+def text_of(cell: str | None) -> str:
+    return (cell or "").strip()
+
+
+def numeric(cell: str) -> bool:
+    """The scalar twin of ``functions.numbers.is_numeric``; takes what float() takes."""
+    bare = cell.translate({ord(c): None for c in "$, "}).strip()
+    if not bare or bare in DASHES:
+        return True
+    try:
+        float(bare.strip("()"))
+    except ValueError:
+        return False
+    return True
+
+
+def modal(sizes) -> int:
+    """The commonest value, the first seen of equally common ones."""
+    return Counter(sizes).most_common(1)[0][0]
+
+
+# text
+
+
+def thin_out(line: str, factor: int = 2) -> str | None:
+    """The line with runs of `factor` equal characters made one, if most of its runs are such."""
+    out, fitting, groups = [], 0, 0
+    for ch, run in groupby(line):
+        n = sum(1 for _ in run)
+        if ch == " ":
+            out.append(" ")
+            continue
+        groups += 1
+        fits = n % factor == 0
+        fitting += fits
+        out.append(ch * (n // factor if fits else n))
+    return "".join(out) if groups >= 3 and fitting >= 0.7 * groups else None
+
+
+def collapse_glyphs(line: str) -> str:
+    """Undo overprinting: bold text that was set by drawing each character 2 to 15 times."""
+    if len(line) < 6:
+        return line
+    tried = [t for f in range(2, 16) if len(line) >= 3 * f and (t := thin_out(line, f)) is not None]
+    return min(tried, key=len, default=line)
+
+
+TERMS = "accumulated additional capital common comprehensive earnings paid par preferred retained shares stock surplus total treasury value".split()
+KNOWN = frozenset(TERMS) | frozenset("and assets balance cash changes debt equity flow for from in income loss net non of operating other per share sheet statement the".split())
+
+
+def deinterleave(text: str) -> str:
+    """Take apart two or three rotated headers whose characters came out in turns."""
+    bare = text.strip()
+    words = bare.lower().split()
+    if not 10 <= len(bare) < 60 or any(c.isdigit() for c in bare) or sum(w in KNOWN for w in words) >= 0.4 * len(words):
+        return text
+    best, found = 0, text
+    for candidate in dict.fromkeys((bare, bare.replace(" ", ""))):
+        for n in (2, 3):
+            if len(candidate) < 4 * n:
+                continue
+            parts = [candidate[k::n].strip() for k in range(n)]
+            score = sum(len(t) for p in parts for t in TERMS if t in p.lower())
+            if score > best:
+                best, found = score, " / ".join(filter(None, parts))
+    return found if best >= 10 else text
+
+
+# rows
+
+
+def next_filled(row: Row, i: int) -> int:
+    while i < len(row) and not text_of(row[i]):
+        i += 1
+    return i
+
+
+def merge_cells(row: Row) -> list[tuple[int, str]]:
+    """(position, text) of a sparse row's values: currency signs, split brackets and percent signs joined to them."""
+    i, out = 0, []
+    while i < len(row):
+        cell = text_of(row[i])
+        sign = cell in CURRENCIES
+        at = next_filled(row, i + 1) if sign else i
+        if sign and at == len(row):
+            out.append((i, cell))
+            i += 1
+            continue
+        value = text_of(row[at])
+        opened = value.startswith("(") and not value.endswith(")") and (sign or OPEN_NEGATIVE.fullmatch(value))
+        end = at + 1
+        if opened:
+            closing = next_filled(row, at + 1)
+            if closing < len(row) and text_of(row[closing]) == ")":
+                value, end = value + ")", closing + 1
+        if sign:
+            out.append((i, f"{cell} {value}"))
+        elif value == "%":
+            if out:
+                out[-1] = (out[-1][0], out[-1][1] + "%")
+        elif value and value != ")":
+            out.append((i, value))
+        i = end
+    return out
+
+
+def join_fragments(parts: Row) -> str:
+    """One label from pieces that a table grid cut, in the middle of words too."""
+    label = parts[0] if parts else ""
+    for p in parts[1:]:
+        cut = p[:1].islower() and label[-1:].isalpha()
+        label += p if cut else f" {p}"
+    return label
+
+
+def collapse_row(row: Row) -> Row:
+    """A sparse row as label and values."""
+    cells = [t for _, t in merge_cells(row)]
+    if len(cells) >= 3:
+        first = next((k for k, c in enumerate(cells) if numeric(c) or c[:1] in CURRENCIES), 0)
+        if first >= 2:
+            cells = [join_fragments(cells[:first]), *cells[first:]]
+    return cells
+
+
+def anchors(row: Row) -> list[int]:
+    """Where a row's values begin: at their currency sign if they have one."""
+    out, i = [], 0
+    while (i := next_filled(row, i)) < len(row):
+        out.append(i)
+        if text_of(row[i]) in CURRENCIES:
+            value = next_filled(row, i + 1)
+            i = (value if value < len(row) else i) + 1
+        else:
+            i += 1
+    return out
+
+
+def collapse_table(table: Table) -> Table:
+    """Rows collapsed; in wide tables values go to the column nearest to where they stood."""
+    if not table:
+        return []
+    columns: list[int] = []
+    if max(map(len, table)) >= WIDE:
+        fullest = sorted(((sum(1 for c in r if text_of(c)), k) for k, r in enumerate(table)), reverse=True)[:REFERENCE_ROWS]
+        columns = sorted({a for _, k in fullest for a in anchors(table[k])})
+    if len(columns) < LEAST_ANCHORS:
+        return [collapse_row(r) for r in table]
+    out, n = [], len(columns)
+    for row in table:
+        cells = merge_wide(row)
+        if not cells:
+            continue
+        placed: dict[int, str] = {}
+        for at, value in cells:
+            best = min(range(n), key=lambda c: abs(columns[c] - at))
+            if best in placed:
+                steps = (best + s * k for k in range(1, n) for s in (1, -1))
+                best = next((c for c in steps if 0 <= c < n and c not in placed), best)
+            placed[best] = value
+        out.append([placed.get(c, "") for c in range(n)])
+    return out
+
+
+def merge_wide(row: Row) -> list[tuple[int, str]]:
+    """As merge_cells; a percent sign before any value is kept as a value of its own."""
+    cells = merge_cells(row)
+    first = next_filled(row, 0)
+    return [(first, "%"), *cells] if first < len(row) and text_of(row[first]) == "%" else cells
+
+
+def split_line(text: str) -> Row:
+    """Label and trailing values of a row that came as one string; dates in the label aren't values."""
+    text = text.strip()
+    dates = [m.span() for m in DATED.finditer(text)]
+    found = [m for m in VALUE.finditer(text) if not any(lo <= m.start() < hi for lo, hi in dates)]
+    end, taken = len(text), []
+    for m in reversed(found):
+        if text[m.end() : end].strip():
+            break
+        taken.insert(0, m)
+        end = m.start()
+    if not taken:
+        return [text]
+    label = text[:end].strip()
+    return ([label] if label else []) + [m[0].strip() for m in taken]
+
+
+# tables
+
+
+def is_ref(cell: str) -> bool:
+    return NOTE_REF.fullmatch(cell) is not None
+
+
+def small_refs(cell: str) -> bool:
+    return is_ref(cell) and all(int(x) <= 30 for x in cell.split(","))
+
+
+def strip_note_refs(table: Table) -> Table:
+    """Drop a column of note numbers between label and values, whether all rows have it or only the longer ones."""
+    rows = [r for r in table if r[1:]]
+    common = Counter(map(len, rows)).most_common(2)
+    if not common:
+        return table
+    if len(common) == 1:
+        cells = [c for r in rows if (c := r[1].strip())]
+        refs = [c for c in cells if is_ref(c)]
+        money = any("$" in c or (len(c) > 3 and "," in c) for c in cells if not is_ref(c))
+        if common[0][0] >= 3 and len(refs) >= 3 and not money and all(map(small_refs, refs)):
+            return [r[:1] + r[2:] for r in table]
+        return table
+    short, long = sorted(n for n, _ in common)
+    cells = [c for r in rows if len(r) == long and (c := r[1].strip())]
+    if long - short == 1 and len(cells) >= 2 and sum(map(small_refs, cells)) >= 0.5 * len(cells):
+        return [r[:1] + r[2:] if len(r) == long else r for r in table]
+    return table
+
+
+SCALE_LINE = re.compile(rf"(?i)\(?\s*in{S}(?:billions|millions|thousands)")
+PERIOD_START = re.compile(rf"(?i)(?:Years?{S}ended|{MONTHS})\s")
+YEAR = r"\d{4}"
+YEARS_ONLY = re.compile(rf"{YEAR}(?:{S}{YEAR})*\s*")
+DOLLARS = re.compile(r"[$]\s*[,\d]")
+
+
+def orphan_rows(text: str, table: Table) -> Table:
+    """Rows with dollar values that stand in the text above a table but not in it."""
+    label = next((c for r in table if (c := (r[0] if r else "").strip())), "")
+    label = re.split(r"\s+\d", label)[0].strip().rstrip(":").lower() if label else ""
+    lines = text.splitlines()
+    start = next((k for k, x in enumerate(lines) if label and label in x.lower()), 0)
+    out, k = [], 0
+    while k < start:
+        line = lines[k].strip()
+        k += 1
+        if not line or SCALE_LINE.match(line) or (line.isupper() and len(line) < 80) or PERIOD_START.match(line) or YEARS_ONLY.fullmatch(line):
+            continue
+        if not DOLLARS.search(line):
+            if k >= start or not DOLLARS.search(lines[k].strip()):
+                continue
+            line = f"{line} {lines[k].strip()}"
+            k += 1
+        row = split_line(line)
+        if len(row) >= 2:
+            out.append(row)
+    return out
+
+
+def merge_pages(tables: list[Table]) -> list[Table]:
+    """Join a table with its continuation on the next page: same width, no title row, not both small."""
+    out: list[Table] = []
+    for table in filter(None, tables):
+        if out and modal(map(len, table)) == modal(map(len, out[-1])):
+            filled = [c for c in table[0] if c.strip()]
+            titled = len(filled) == 1 and not numeric(filled[0])
+            if not titled and not (len(out[-1]) < 15 and len(table) < 15):
+                out[-1] = out[-1] + table[table[0] == out[-1][0] :]
+                continue
+        out.append(table)
+    return out
+
+
+GRAND_TOTAL = re.compile("(?i)" + S.join(("Total", "liabilities", "and", "stockholders")))
+MONEY_CELL = re.compile(r"[€£$]?\s*[-—–.,()%\d]+\$?")
+
+
+def cut_after_total(table: Table) -> Table:
+    """The table up to its grand total; footnote tables that follow it go."""
+    for k, row in enumerate(table):
+        parts: Row = []
+        for c in map(text_of, row[:5]):
+            if c and MONEY_CELL.fullmatch(c):
+                break
+            if c:
+                parts.append(c)
+        if GRAND_TOTAL.match(join_fragments(parts)) and any(map(numeric, row[1:])):
+            return table[: k + 1]
+    return table
+
+
+MANY_MONTHS = rf"(?:Nine|Six|Three|Twelve){S}Months?{S}Ended"
+DATE_CELL = re.compile(rf"(?i)(?:(?:{MONTHS}){S}{DAY}\s*(?:\d{{4}})?|\d{{4}}(?:{S}\d{{4}})*|{MANY_MONTHS}\b.*|(?:Period|Year){S}Ended\b.*|Fiscal{S}Year{S}\d{{4}})\s*")
+
+
+def strip_inner_headers(table: Table) -> Table:
+    """Drop scale lines, and rows of dates below the first row."""
+    out = []
+    for k, row in enumerate(table):
+        filled = [c for c in row if c.strip()]
+        if filled and not any(map(numeric, filled)):
+            if SCALE_LINE.match(" ".join(filled)) or (k and all(DATE_CELL.fullmatch(c.strip()) for c in filled)):
+                continue
+        out.append(row)
+    return out
+
+
+PERIOD_CELL = re.compile(rf"(?:FY|Q\d)?\s*{YEAR}")
+
+
+def labelled(row: Row) -> bool:
+    """Whether one of the first two cells is a label."""
+    return any((c := x.strip()) and len(c) > 3 and not numeric(c) and not PERIOD_CELL.fullmatch(c) for x in row[:2])
+
+
+def prose_like(table: Table) -> bool:
+    """Whether a table is running text that was cut into columns."""
+    cells = [c for r in table for c in map(text_of, r) if c]
+    if len(table) < 2 or not cells:
+        return False
+    share = sum(numeric(c) and len(c) < 30 for c in cells) / len(cells)
+    if len(table) > 50 and share < 0.30:
+        return True
+    if max(map(len, table)) < 6 or len(cells) < 5 or share > 0.15 or sum(map(len, cells)) > 40 * len(cells):
+        return False
+    joined = [" ".join(map(text_of, r)).strip() for r in table[:10]]
+    return sum(len(j) > 60 and len(j.split()) > 8 for j in joined) >= 0.4 * len(joined)
+
+
+def paragraph_like(table: Table) -> bool:
+    """Whether a table is a paragraph in up to three columns."""
+    cells = [c for r in table for c in map(text_of, r) if c]
+    return bool(cells) and sum(map(len, cells)) > 60 * len(cells) and not any(numeric(c) for c in cells if len(c) < 30) and max(map(len, table)) <= 3
+
+
+MONTH_DATE = re.compile(rf"(?:{MONTHS}){S}{DAY}")
+MONTHS_ENDED = re.compile(rf"(?i){MANY_MONTHS}{S}\w+{S}{DAY}")
+YEAR_ENDED = re.compile(rf"(?i)((?:Period|Year){S}Ended{S}\w+{S}{DAY})\s*")
+TRAILING_YEARS = re.compile(rf"({YEAR}(?:{S}{YEAR})+)\s*$")
+
+
+def column_headers(text: str) -> tuple[Row, Row]:
+    """(periods, years) that a statement's text announces for its columns."""
+    periods: Row = []
+    years: Row = []
+    for line in map(str.strip, text.splitlines()):
+        short = len(line) < 60
+        if found := MONTHS_ENDED.findall(line):
+            periods += found
+        elif short and (m := YEAR_ENDED.fullmatch(line)):
+            periods.append(m[1])
+        elif short and not periods and (found := MONTH_DATE.findall(line)):
+            periods += found
+        elif not years and (m := TRAILING_YEARS.search(line)):
+            found = m[1].split()
+            if m.start() == 0 or all(1990 <= int(y) <= 2050 for y in found):
+                years = found
+    return periods, years
+
+
+def header_rows(periods: Row, years: Row, width: int) -> Table:
+    """One or two header rows for a table of `width` columns, the first of which holds labels."""
+    n = width - 1
+    fill = lambda r: r + [""] * (width - len(r))
+    if years and len(years) >= n:
+        years = years[:n]
+        per = {1: n, n: 1}.get(len(periods), 2 if 2 * len(periods) == n else 0)
+        if periods and per:
+            return [["", *(f"{periods[min(k // per, len(periods) - 1)]} {y}" for k, y in enumerate(years))]]
+        return [fill(["", *periods[:n]]), ["", *years]] if periods else [["", *years]]
+    return [fill(["", *periods[:n]])] if periods else []
+
+
+def render(headers: Table, rows: Table, width: int, left: int = 1) -> str:
+    """A markdown table."""
+    width = max(width, 2)
+    line = lambda cells: "| " + " | ".join(" ".join(c.split()) for c in (list(cells) + [""] * width)[:width]) + " |"
+    rule = "| " + " | ".join([":---"] * left + ["---:"] * (width - left)) + " |"
+    return "\n".join([*map(line, headers or [[]]), rule, *map(line, rows)])
+
+
+LAST_REF = re.compile(rf"{S}\d\d?\s*$")
+NUMBER = r"[,\d]+(?:[.][0-9]+)?"
+NUMBER_TOKEN = re.compile(rf"\({NUMBER}\)|{NUMBER}|[–—]")
+
+
+def value_tokens(line: str) -> list[re.Match]:
+    """Numbers of a line that can be values; one- and two-digit whole numbers are note references."""
+    return [m for m in NUMBER_TOKEN.finditer(line) if len(m[0]) > 2 or not m[0].isdigit()]
+
+
+def text_table(text: str, periods: Row | None = None, years: Row | None = None) -> str | None:
+    """A markdown table from lines of text, for statements whose grid lacks labels; None where the text isn't tabular."""
+    lines = [x for x in text.splitlines() if not re.fullmatch(r"\s*\d{1,3}\s*", x)]
+    counts = [len(value_tokens(x)) for x in lines]
+    some = [c for c in counts if c > 0]
+    if not some or sum(c >= (n := modal(some)) for c in counts) < 3:
+        return None
+    rows: Table = []
+    for line in filter(None, map(str.strip, lines)):
+        values = value_tokens(line)
+        if len(values) >= n:
+            label = LAST_REF.sub("", line[: values[-n].start()].rstrip())
+            rows.append([label or "Total", *(m[0] for m in values[-n:])])
+        elif rows and len(line) < 80:
+            rows.append([line] + [""] * n)
+    if len(rows) < 3:
+        return None
+    if years and len(years) == n:
+        header = years
+    elif periods:
+        header = periods[:n]
+    else:
+        dated = (re.findall(r"\b20\d{2}\b", x) for x in text.splitlines()[:5])
+        header = next((d for d in dated if len(d) == n), [f"Col {k + 1}" for k in range(n)])
+    return render([["", *header]], rows, n + 1)
+
+
+YEAR_CELL = re.compile(r"\d{4}")
+
+
+def own_header(table: Table, width: int) -> tuple[Table, Table, int] | None:
+    """(header, rows, width) of a table that brings its header, in one row or in two with years in the second."""
+    first, filled = table[0], [c for c in table[0] if c.strip()]
+    if len(filled) < 2 or any(map(numeric, filled)):
+        return None
+    rows, width = table[1:], max(width, len(first))
+    if rows:
+        second = [c for c in rows[0] if c.strip()]
+        years = [bool(YEAR_CELL.fullmatch(c.strip())) for c in second]
+        if any(years) and all(y or not numeric(c) for c, y in zip(second, years)):
+            size = max(len(first), len(rows[0]))
+            pair = zip(first + [""] * (size - len(first)), rows[0] + [""] * (size - len(rows[0])))
+            return [[" ".join(filter(None, (a.strip(), b.strip()))) for a, b in pair]], rows[1:], width
+    return [first], rows, width
+
+
+def pad_rows(table: Table, width: int) -> Table:
+    """Rows with a label and a value, but too few cells, end in dashes."""
+    return [r + ["—"] * (width - len(r)) if 2 <= len(r) < width and not numeric(r[0]) and any(map(numeric, r[1:])) else r for r in table]
+
+
+def repair_tables(text: str, tables: list[Table]) -> tuple[str | None, list[tuple[Table, Table, int]]]:
+    """All repairs of one section: (None, [(header, rows, width)]), or (which text to show instead, []).
+
+    The text is named ``clean`` (page furniture removed) or ``raw``.
+    """
+    kept = [t for t in tables if t and not prose_like(t) and not paragraph_like(t)]
+    if not kept:
+        return "clean", []
+    done = [r for t in kept if (r := [x for x in collapse_table(t) if any(c.strip() for c in x)])]
+    if not done:
+        return "raw", []
+    done = [[split_line(r[0] if r else "") for r in t] if modal(map(len, t)) <= 1 else t for t in done]
+    done[0] = orphan_rows(text, done[0]) + done[0]
+    done = [strip_inner_headers(cut_after_total(strip_note_refs(t))) for t in done]
+    rows = [r for t in done for r in t if r]
+    if rows and sum(map(labelled, rows)) < 0.2 * len(rows):
+        return "clean", []
+    done = [[r for r in t if not (len(r) == 1 and re.fullmatch(r"\s*\d{1,3}\s*", r[0]))] for t in done]
+    periods, years = column_headers(text)
+    out = []
+    for table in merge_pages(done):
+        width = modal(map(len, table))
+        table = pad_rows(table, width)
+        out.append(own_header(table, width) or (header_rows(periods, years, width), table, width))
+    return None, out
+
+
+# labels
+
+
+def similarity(a: str, b: str) -> float:
+    """Ratcliff-Obershelp ratio; not symmetric."""
+    return SequenceMatcher(None, a, b).ratio()
+
+
+def closest(label: str, aliases: list[tuple[str, str]]) -> tuple[str | None, float]:
+    """The canonical name of the most similar alias, the first of equals; pairs whose lengths bound them away are skipped."""
+    best, name = 0.0, None
+    matcher = SequenceMatcher(None)
+    matcher.set_seq1(label)
+    for alias, canonical in aliases:
+        total = len(label) + len(alias)
+        if not total or 2 * min(len(label), len(alias)) <= best * total:
+            continue
+        matcher.set_seq2(alias)
+        if matcher.quick_ratio() > best and (r := matcher.ratio()) > best:
+            best, name = r, canonical
+    return name, best
