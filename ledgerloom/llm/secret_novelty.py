@@ -68,9 +68,9 @@ class Novelty:
         self.params = zstandard.ZstdCompressionParameters.from_level(15, window_log=14, hash_log=12, chain_log=12, min_match=3, write_content_size=False, write_dict_id=False)
 
     def __call__(self, text: str, lo: int, hi: int) -> float:
-        """Of text[lo:hi], against what is around it."""
-        value = text[lo:hi]
-        around = (text[max(0, lo - AROUND) : lo] + " " + text[hi : hi + AROUND]).replace(value, " ")
+        """Of text[lo:hi], against what is around it; repetitions of it don't count as surroundings, at the edge neither."""
+        value, reach = text[lo:hi], AROUND + hi - lo
+        around = text[max(0, lo - reach) : lo].replace(value, " ")[-AROUND:] + " " + text[hi : hi + reach].replace(value, " ")[:AROUND]
         primed = zstandard.ZstdCompressionDict(IDENTIFIERS + b" " + around.encode("utf-8", "surrogatepass"), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
         compress = zstandard.ZstdCompressor(dict_data=primed, compression_params=self.params).compress
         data = value.encode("utf-8", "surrogatepass")
