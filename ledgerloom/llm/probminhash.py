@@ -38,9 +38,9 @@ from ledgerloom.llm.common import map_arrow, shared_folder
 
 SHINGLE = 3
 #: Registers of a signature, in bands of ROWS.
-REGISTERS, ROWS = 96, 4
+REGISTERS, ROWS = 112, 4
 #: Share of agreeing registers from which two documents are near duplicates.
-THRESHOLD = 0.55
+THRESHOLD = 0.5
 CACHE = 400_000
 
 WORDS = re.compile(r"\w+")
