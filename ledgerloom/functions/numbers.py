@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 #: What a cell may hold once marks are taken off; Spark's own cast would also take '12d'.
@@ -9,6 +11,15 @@ PLAIN_NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 DASHES = ("—", "–", "-")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with the value computed once, however often the body names it.
+
+    Higher-order functions are interpreted, without the elimination of common parts that generated code has; an array
+    of one element binds the value to a lambda variable.
+    """
+    return F.transform(F.array(value), lambda v: body(v))[0]
+
+
 def squash(c: Column) -> Column:
     """Strip white space of any kind from both ends."""
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ledgerloom.functions.numbers import squash
+from ledgerloom.functions.numbers import let, squash
 from ledgerloom.functions.phrases import phrase
 
 LINE_ENDS = r"\r\n|[\n\r\x0B\x0C\x1C\x1D\x1E\x85  ]"
@@ -30,9 +30,8 @@ REPEATS, REPEAT_CHARS = 3, 120
 
 def split_lines(text: Column) -> Column:
     """The lines of a text; a line end at the very end opens no further line."""
-    parts = F.split(text, LINE_ENDS, -1)
-    trimmed = F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0)))).otherwise(parts)
-    return F.when(text == "", F.array().cast("array<string>")).otherwise(trimmed)
+    cut = lambda p: F.when(F.element_at(p, -1) == "", F.slice(p, 1, F.greatest(F.size(p) - 1, F.lit(0)))).otherwise(p)
+    return F.when(text == "", F.array().cast("array<string>")).otherwise(let(F.split(text, LINE_ENDS, -1), cut))
 
 
 def join_lines(lines: Column) -> Column:
@@ -42,10 +41,14 @@ def join_lines(lines: Column) -> Column:
 def without(lines: Column, *patterns: str) -> Column:
     """Lines that match none of the patterns."""
     for p in patterns:
-        lines = F.filter(lines, lambda x, p=p: ~x.rlike(p))
+        lines = F.filter(lines, unlike(p))
     return lines
 
 
+def unlike(pattern: str):
+    return lambda x: ~x.rlike(pattern)
+
+
 def explode_lines(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, line_no from 1, line), one row for each line."""
     return df.select(id_col, F.posexplode(split_lines(F.col(text_col))).alias("pos", "line")).select(id_col, (F.col("pos") + 1).alias("line_no"), "line")
@@ -58,16 +61,13 @@ def clean_raw_text(text: Column) -> Column:
 
 def is_subheading(s: Column) -> Column:
     """A short line in title case that isn't a sentence."""
-    words = F.filter(F.split(s, r"(?U)\s+"), lambda w: w != "")
-    upper = F.size(F.filter(words, lambda w: w.rlike(r"^\p{Lu}")))
-    return (
-        F.size(words).between(2, 10)
-        & (F.length(s) < 80)
-        & ~s.rlike("([,;:]|and|or)$")
-        & s.rlike(r"^\p{Lu}")
-        & (upper / F.greatest(F.size(words), F.lit(1)) >= 0.6)
-        & ~s.rlike(SENTENCE_LIKE)
-    )
+
+    def title_case(words: Column) -> Column:
+        upper = F.size(F.filter(words, lambda w: w.rlike(r"^\p{Lu}")))
+        return F.size(words).between(2, 10) & (upper / F.greatest(F.size(words), F.lit(1)) >= 0.6)
+
+    shape = (F.length(s) < 80) & s.rlike(r"^\p{Lu}") & ~s.rlike("([,;:]|and|or)$") & ~s.rlike(SENTENCE_LIKE)
+    return shape & let(F.filter(F.split(s, r"(?U)\s+"), lambda w: w != ""), title_case)
 
 
 def repeated_lines(df: DataFrame, id_col: str, text_col: str, least: int = REPEATS, chars: int = REPEAT_CHARS) -> DataFrame:
@@ -78,17 +78,23 @@ def repeated_lines(df: DataFrame, id_col: str, text_col: str, least: int = REPEA
 
 def drop_repeated(lines: Column) -> Column:
     """The array form of the same: an array of distinct recurring lines, found by sorting, is looked up."""
-    bare = F.filter(F.transform(lines, squash), lambda x: x != "")
-    ordered = F.array_sort(bare)
-    ahead = F.slice(ordered, REPEATS, F.greatest(F.size(ordered), F.lit(1)))
-    pairs = F.arrays_zip(ordered.alias("a"), ahead.alias("b"))
-    again = F.array_distinct(F.transform(F.filter(pairs, lambda p: (p["a"] == p["b"]) & (F.length(p["a"]) < REPEAT_CHARS)), lambda p: p["a"]))
-    return F.when(F.size(again) == 0, lines).otherwise(F.filter(lines, lambda x: ~F.array_contains(again, squash(x))))
+
+    def recurring(ordered: Column) -> Column:
+        ahead = F.slice(ordered, REPEATS, F.greatest(F.size(ordered), F.lit(1)))
+        pairs = F.zip_with(ordered, ahead, lambda a, b: F.when((a == b) & (F.length(a) < REPEAT_CHARS), a))
+        return F.array_distinct(F.filter(pairs, lambda p: p.isNotNull()))
+
+    def drop(given: Column) -> Column:
+        again = let(F.array_sort(F.filter(F.transform(given, squash), lambda x: x != "")), recurring)
+        return let(again, lambda a: F.when(F.size(a) == 0, given).otherwise(F.filter(given, lambda x: ~F.array_contains(a, squash(x)))))
+
+    return let(lines, drop)
 
 
 def mark_headings(lines: Column) -> Column:
     """Stripped lines, items and sub-headings as third-level headings."""
-    return F.transform(lines, lambda x: F.when(squash(x).rlike(ITEM) | is_subheading(squash(x)), F.concat(F.lit("### "), squash(x))).otherwise(squash(x)))
+    mark = lambda x: F.when(x.rlike(ITEM) | is_subheading(x), F.concat(F.lit("### "), x)).otherwise(x)
+    return F.transform(F.transform(lines, squash), mark)
 
 
 def rejoin(lines: Column) -> Column:
@@ -97,11 +103,14 @@ def rejoin(lines: Column) -> Column:
     Whether a line breaks off depends on it and its predecessor alone (a joined line begins in lower case and can't be
     empty or a heading), so the separators can be chosen pairwise and no fold is needed.
     """
-    n = F.size(lines)
-    before = F.concat(F.array(F.lit("")), F.slice(lines, 1, F.greatest(n - 1, F.lit(0))))
     goes_on = lambda p, x: x.rlike(r"^[\p{Ll}ªº]") & (p != "") & ~p.startswith("#")
-    parts = F.zip_with(before, lines, lambda p, x: F.concat(F.when(goes_on(p, x), F.lit(" ")).otherwise(F.lit("\n")), x))
-    return F.substring(F.array_join(parts, ""), 2, 2147483647)
+
+    def join(given: Column) -> Column:
+        before = F.concat(F.array(F.lit("")), F.slice(given, 1, F.greatest(F.size(given) - 1, F.lit(0))))
+        parts = F.zip_with(before, given, lambda p, x: F.concat(F.when(goes_on(p, x), F.lit(" ")).otherwise(F.lit("\n")), x))
+        return F.substring(F.array_join(parts, ""), 2, 2147483647)
+
+    return let(lines, join)
 
 
 def squeeze(text: Column) -> Column:
@@ -120,9 +129,12 @@ def clean_prose(text: Column, tables_md: Column | None = None) -> Column:
 
 def format_exhibits(text: Column) -> Column:
     """Exhibits as a list; with fewer than two of them, prose."""
-    lines = without(F.transform(split_lines(text), squash), PAGE_NUMBER)
-    listed = F.transform(lines, lambda x: F.when(x.rlike(EXHIBIT), F.concat(F.lit("- "), x)).otherwise(x))
-    return F.when(F.size(F.filter(lines, lambda x: x.rlike(EXHIBIT))) < 2, clean_prose(text)).otherwise(squeeze(join_lines(listed)))
+
+    def listed(lines: Column) -> Column:
+        marked = F.transform(lines, lambda x: F.when(x.rlike(EXHIBIT), F.concat(F.lit("- "), x)).otherwise(x))
+        return F.when(F.size(F.filter(lines, lambda x: x.rlike(EXHIBIT))) >= 2, squeeze(join_lines(marked)))
+
+    return F.coalesce(let(without(F.transform(split_lines(text), squash), PAGE_NUMBER), listed), clean_prose(text))
 
 
 def split_chunks(text: Column, limit: int, boundary: str) -> Column:

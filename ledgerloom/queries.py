@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from ledgerloom.catalog import scalars, texts  # noqa: F401  (modules register themselves)
+from ledgerloom.catalog.registry import QUERIES, SQL, Query
 
-def queries() -> dict:
-    return {}
 
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
-def oracle_sql() -> dict:
-    return {}
+
+def oracle_sql() -> dict[str, str]:
+    return dict(SQL)
