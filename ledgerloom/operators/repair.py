@@ -43,7 +43,11 @@ merge_pages = arrow(k.merge_pages, TABLES, 3)
 prose_like = arrow(k.prose_like, "boolean", 2)
 paragraph_like = arrow(k.paragraph_like, "boolean", 2)
 text_table = arrow(lambda t: k.text_table(t, *k.column_headers(t)), "string")
-column_headers = arrow(lambda t: dict(zip(("periods", "years"), k.column_headers(t))), "struct<periods:array<string>,years:array<string>>")
+
+
+@arrow_udf("struct<periods:array<string>,years:array<string>>")
+def column_headers(texts: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([k.column_headers(t or "") for t in texts], columns=["periods", "years"])
 
 
 @arrow_udf(TABLE)
