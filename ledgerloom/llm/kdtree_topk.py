@@ -196,12 +196,13 @@ def top_k(df: DataFrame, k: int = K, id_col: str = "vec_id", vec_col: str = "emb
         # the queries of a shard are spread over several tasks; each builds the shard's tree
         copies = max(1, parts // len(boxes))
         sent = sent.withColumn("copy", F.pmod(F.xxhash64("id"), F.lit(copies)).cast("int"))
-        stored = rows.select("shard", "id", "v").withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
+        # names of their own: both sides of the cogroup come from the same rows
+        stored = rows.select(F.col("shard").alias("home"), F.col("id").alias("member"), F.col("v").alias("place")).withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
 
         def away(key: tuple, queries: pa.Table, members: pa.Table) -> pa.Table:
             out = [pa.table({"query_id": pa.array([], pa.int64()), "neighbour_id": pa.array([], pa.int64()), "distance2": pa.array([], pa.float64())})]
             if queries.num_rows and members.num_rows:
-                tree = Tree(members.column("id").to_numpy(), matrix(members.column("v"), dims), leaf_rows)
+                tree = Tree(members.column("member").to_numpy(), matrix(members.column("place"), dims), leaf_rows)
                 for s in range(0, queries.num_rows, QUERY_ROWS):
                     part = queries.slice(s, QUERY_ROWS)
                     i = part.column("id").to_numpy()
@@ -209,7 +210,7 @@ def top_k(df: DataFrame, k: int = K, id_col: str = "vec_id", vec_col: str = "emb
                     out.append(pa.table({"query_id": i[row], "neighbour_id": near, "distance2": d2}))
             return pa.concat_tables(out)
 
-        found = home.union(sent.groupBy("shard", "copy").cogroup(stored.groupBy("shard", "copy")).applyInArrow(away, FOUND))
+        found = home.union(sent.groupBy("shard", "copy").cogroup(stored.groupBy("home", "copy")).applyInArrow(away, FOUND))
     else:
         found = home
     # the k best of each query: folded map-side, so that no query's candidates are sorted in one task
