@@ -116,6 +116,15 @@ def filing_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return N.filing_sequence(f, ["o_custkey"]).select("o_custkey", "filing_ord", "filing_sequence")
 
 
+@query(f"""
+WITH f AS (SELECT o_orderkey AS filing_ord, {PERIOD_END.format(iso=iso_date("o_orderdate", True))} AS period_end FROM orders)
+SELECT filing_ord, CAST(row_number() OVER (ORDER BY period_end, filing_ord) AS INTEGER) AS filing_sequence FROM f""")
+def filing_sequence_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One sequence over all filings."""
+    f = table(spark, sf_dir, "orders").selectExpr("o_orderkey AS filing_ord", f"{PERIOD_END.format(iso=iso_date('o_orderdate'))} AS period_end")
+    return N.filing_sequence(f).select("filing_ord", "filing_sequence")
+
+
 # checks: an order is a balance sheet, its total the assets, its lines the two sides
 
 #: Products of two-place numbers are summed exactly, so that half cents round alike everywhere.

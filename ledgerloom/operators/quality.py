@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ledgerloom.functions.numbers import squash
+from ledgerloom.functions.numbers import let, squash
 from ledgerloom.operators.lines import split_lines
 
 FINANCIAL = tuple(f"Consolidated {x}" for x in ("Balance Sheets", *(f"Statements of {y}" for y in ("Income", "Cash Flows", "Stockholders' Equity"))))
@@ -31,8 +31,12 @@ def sections(md: Column) -> Column:
     parts = F.split(F.concat(F.lit("\n"), F.array_join(split_lines(md), "\n")), r"\n(?=## .)")
     heads = F.filter(parts, lambda p: p.startswith("## "))
     made = F.transform(heads, lambda p: F.struct(squash(F.substring(F.substring_index(p, "\n", 1), 4, 100000)).alias("title"), squash(F.when(p.contains("\n"), F.regexp_replace(p, r"\A[^\n]*\n", "")).otherwise("")).alias("content")))
-    titles = F.array_distinct(F.transform(made, lambda s: s["title"]))
-    return F.transform(titles, lambda t: F.struct(t.alias("title"), F.element_at(F.filter(made, lambda s: s["title"] == t), -1)["content"].alias("content")))
+
+    def last_of_each(m: Column) -> Column:
+        titles = F.array_distinct(F.transform(m, lambda s: s["title"]))
+        return F.transform(titles, lambda t: F.struct(t.alias("title"), F.element_at(F.filter(m, lambda s: s["title"] == t), -1)["content"].alias("content")))
+
+    return let(made, last_of_each)
 
 
 def section_like(s: Column, name: str) -> Column:

@@ -8,12 +8,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ledgerloom.functions.labels import scale_hint
 from ledgerloom.operators import confidence as C, detect, facts as X, lines, metadata as M, normalize as N, quality, render as R, repair, sections as S, validate as V
 from ledgerloom.sources.dimensions import concept_dim, section_dim
 from ledgerloom.sources.notes import structure_notes
+from ledgerloom.sources.shared import written
 
 STATEMENT_KEYS = ("income_statement", "balance_sheet", "cash_flow")
 HINT_ORDER = ("income_statement", "comprehensive_income", "balance_sheet", "cash_flow", "stockholders_equity")
@@ -21,7 +22,7 @@ HINT_ORDER = ("income_statement", "comprehensive_income", "balance_sheet", "cash
 
 @dataclass
 class Reports:
-    """What a run gives; all of it lazy."""
+    """What a run gives.  The sections, the line items and the rendered parts have been written once; the rest is lazy."""
 
     documents: DataFrame
     sections: DataFrame
@@ -68,19 +69,22 @@ def process_reports(spark: SparkSession, pages: DataFrame, parsed_at: str, facts
     domestic, ifrs = S.split_sections(own), S.split_sections(abroad, ifrs=True)
     dim = section_dim(spark)
     kinds = F.broadcast(dim.select("key", F.col("kind").alias("section_kind")))
-    found = domestic.unionByName(ifrs).join(kinds, "key")
+    found = written(domestic.unionByName(ifrs).join(kinds, "key"))
 
     # line items of the domestic statements
     statements = found.where("section_kind = 'statement' and key not like 'ifrs%'")
-    normalized = N.normalize_rows(repair.repaired_rows(statements.where(F.size("tables") > 0)))
-    data = N.statement_data(normalized).where(F.col("key").isin(*STATEMENT_KEYS))
+    normalized = written(N.normalize_rows(repair.repaired_rows(statements.where(F.size("tables") > 0))))
+    data = written(N.statement_data(normalized).where(F.col("key").isin(*STATEMENT_KEYS)))
 
     # cover and front matter
     filings = kind.join(cover.select("filing_id", F.col("text").alias("cover_text")), "filing_id", "left").join(prefix, "filing_id", "left")
-    fields = M.supplement(M.cover_fields(F.coalesce("cover_text", F.lit(""))), M.cover_fields(F.coalesce("prefix_text", F.lit(""))))
+    # columns of their own: no Python function may stand inside a lambda
+    filings = filings.withColumns({"own_fields": M.cover_fields(F.coalesce("cover_text", F.lit(""))), "prefix_fields": M.cover_fields(F.coalesce("prefix_text", F.lit("")))})
+    fields = M.supplement(F.col("own_fields"), F.col("prefix_fields"))
     hint_ord = F.array_position(F.array(*map(F.lit, HINT_ORDER)), F.col("key"))
     hints = statements.withColumn("h", scale_hint(F.col("text"))).where("h is not null").groupBy("filing_id").agg(F.min_by("h", hint_ord).alias("scale_hint"))
     filings = filings.withColumn("fields", fields).join(hints, "filing_id", "left").withColumn("source_pdf", F.concat("filing_id", F.lit(".pdf")))
+    filings = written(filings)
     meta = M.metadata(filings.where("report_type = 'sec'"), parsed_at)
 
     # structured facts of the same filing, where there are any
@@ -99,7 +103,7 @@ def process_reports(spark: SparkSession, pages: DataFrame, parsed_at: str, facts
         structured = long.groupBy(F.col("filer").alias("filing_id"), F.col("statement").alias("key"), "canonical").agg(ordered.alias("amounts"))
         rendered = X.render_statements(long).select(F.col("filer").alias("filing_id"), F.col("statement").alias("key"), F.col("markdown").alias("content"))
 
-    checks = V.run_checks(data)
+    checks = written(V.run_checks(data))
     stated = statements.select("filing_id", "key").where(F.col("key").isin(*STATEMENT_KEYS)).union(structured.select("filing_id", "key").where(F.col("key").isin(*STATEMENT_KEYS)))
     structured = structured.where(F.col("key").isin(*STATEMENT_KEYS))
     differences = C.cross_validate(structured, data, ["filing_id", "key"])
@@ -116,10 +120,11 @@ def process_reports(spark: SparkSession, pages: DataFrame, parsed_at: str, facts
     prose = prose_in.join(prose_tables, ["filing_id", "key"], "left").select("filing_id", "key", lines.clean_prose(F.col("text"), F.coalesce("tables_md", F.lit(""))).alias("content"))
     covers = filings.where("cover_text is not null").select("filing_id", F.lit("cover_page").alias("key"), M.cover_table(F.col("fields"), F.col("cover_text")).alias("content"))
     processed = from_tables.unionByName(rendered).unionByName(plain_tables).unionByName(noted).unionByName(listed).unionByName(prose).unionByName(covers)
+    processed = written(processed)
 
     # documents
     ordered = N.filing_sequence(kind.join(meta, "filing_id", "left").select("filing_id", F.col("filing_id").alias("filing_ord"), F.col("meta.period_end").alias("period_end")))
-    several = F.count("*").over(W.partitionBy(F.lit(0))) > 1
+    several = F.lit(len(ordered.take(2)) > 1)
     seq = ordered.select("filing_id", F.when(several, F.col("filing_sequence")).alias("filing_sequence"))
     by = F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", F.col("confidence").cast("string").alias("v")))))
     trust = scores.groupBy("filing_id").agg(by.alias("confidence_map"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", "source")))).alias("source_map"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ledgerloom.catalog import grids, items, scalars, segments, texts  # noqa: F401  (modules register themselves)
+from ledgerloom.catalog import grids, items, reports, scalars, segments, texts  # noqa: F401  (modules register themselves)
 from ledgerloom.catalog.registry import QUERIES, SQL, Query
 
 
