@@ -14,9 +14,9 @@ ROW, TABLE, TABLES = "array<string>", "array<array<string>>", "array<array<array
 
 
 def plain(x, depth: int):
-    """Nested numpy arrays as lists, with empty strings for missing cells."""
-    if depth == 0:
-        return "" if x is None else x
+    """Nested numpy arrays as lists, with empty strings for missing cells and empty lists for missing rows."""
+    if x is None or depth == 0:
+        return x if x is not None else [] if depth else ""
     return [plain(y, depth - 1) for y in x]
 
 
