@@ -1,11 +1,13 @@
 """Secret scans by dictionary-primed zstandard novelty.
 
 A candidate is a long run of token characters in a sensitive context: assigned to a name such as ``password`` or
-``api_key``, after ``Bearer``, or with the prefix of an issuer of keys.  What it adds to its surroundings is measured:
+``api_key``, after ``Bearer``, or with the prefix of an issuer of keys; plain words are none.  What it adds to its surroundings is measured:
 zstandard is primed with a dictionary of common identifiers and the text around the candidate (without the candidate
-itself), and the bytes that compressing the candidate then takes, beyond those of an empty text, are its marginal bytes.
+itself), and the bytes that compressing the candidate then takes are its marginal bytes.
 Words, identifiers, paths and placeholders are cheap after such a dictionary; a random string costs all its length.
-Candidates whose novelty (marginal bytes / length) reaches the limit are reported.
+The candidate is measured behind a carrier of known words, so that even a short one pays for its own bytes only and not
+for the frame of a compressed block.  Candidates whose novelty (marginal bytes over the bytes that a random string of
+their alphabet takes: half of its length for hexadecimal digits) reaches the limit are reported.
 
 Defined results
 ---------------
@@ -29,7 +31,7 @@ from pyspark.sql import DataFrame
 from ledgerloom.llm.common import map_arrow
 
 #: Marginal bytes for each byte of the candidate, from which it counts as incompressible.
-NOVELTY = 0.7
+NOVELTY = 0.85
 #: Characters on either side that prime the dictionary.
 AROUND = 1024
 REDACTED = "[REDACTED]"
@@ -40,6 +42,8 @@ ASSIGNED = re.compile(
 )
 #: What may follow: a run of token characters.
 VALUE = re.compile(r"[A-Za-z0-9+/_\-.~!@#$%^&*]{8,}=*")
+#: Plain words after a sensitive name ("the secret: understanding") are no candidates.
+WORDS = re.compile(r"(?:[A-Z]?[a-z]{1,24}|[A-Z]{1,24})(?:[-_./][A-Z]?[a-z]{1,24}){0,4}")
 #: Issuers' prefixes stand for a context of their own.
 ISSUED = re.compile(
     r"(?<![A-Za-z0-9])(?:(?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{30,}|github_pat_[A-Za-z0-9_]{30,}|glpat-[A-Za-z0-9_\-]{20,}|xox[abprs]-[A-Za-z0-9\-]{16,}|[sr]k_(?:live|test)_[A-Za-z0-9]{16,}|AIza[A-Za-z0-9_\-]{30,}|eyJ[A-Za-z0-9_\-]{16,}\.[A-Za-z0-9_\-]{16,}(?:\.[A-Za-z0-9_\-]+)?)"
@@ -61,6 +65,11 @@ IDENTIFIERS = " ".join(
 ).encode()
 
 
+#: What a candidate follows when it is measured; a single match with the dictionary.
+CARRIER = IDENTIFIERS[-200:] + b" "
+HEXADECIMAL = re.compile(r"(?=.*[0-9])(?=.*[A-Fa-f])[0-9A-Fa-f]+")
+
+
 class Novelty:
     """Marginal compressed bytes of candidates."""
 
@@ -74,7 +83,8 @@ class Novelty:
         primed = zstandard.ZstdCompressionDict(IDENTIFIERS + b" " + around.encode("utf-8", "surrogatepass"), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
         compress = zstandard.ZstdCompressor(dict_data=primed, compression_params=self.params).compress
         data = value.encode("utf-8", "surrogatepass")
-        return (len(compress(data)) - len(compress(b""))) / len(data)
+        marginal = max(0, len(compress(CARRIER + data)) - len(compress(CARRIER)))
+        return min(1.0, marginal / (len(data) * (0.5 if HEXADECIMAL.fullmatch(value) else 1.0)))
 
 
 def candidates(text: str) -> list[tuple[int, int, str]]:
@@ -83,7 +93,7 @@ def candidates(text: str) -> list[tuple[int, int, str]]:
     for m in ASSIGNED.finditer(text):
         if v := VALUE.match(text, m.end()):
             end = v.end() - (len(v[0]) - len(v[0].rstrip(".!*")))  # closing marks belong to the sentence
-            if end - v.start() >= 8:
+            if end - v.start() >= 8 and not WORDS.fullmatch(text, v.start(), end):
                 found.append((v.start(), end, "assigned"))
     found += [(m.start(), m.end(), "issued") for m in ISSUED.finditer(text)]
     out, last = [], 0
