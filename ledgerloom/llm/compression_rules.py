@@ -25,14 +25,15 @@ from pyspark.sql import DataFrame
 from ledgerloom.llm.common import map_arrow
 
 #: (bytes from, lowest ratio, highest ratio), by length; the band of the largest start not above the length counts.
+#: Base64 of random bytes never exceeds 8 / 6, which the lowest ratios from 1,024 bytes on lie above.
 BANDS: tuple[tuple[int, float, float], ...] = (
     (0, 0.0, float("inf")),
     (128, 0.90, 2.4),
-    (256, 1.10, 3.0),
-    (1024, 1.25, 3.6),
-    (4096, 1.35, 4.4),
-    (16384, 1.40, 5.2),
-    (65536, 1.40, 6.5),
+    (256, 1.15, 3.0),
+    (1024, 1.40, 3.6),
+    (4096, 1.50, 4.4),
+    (16384, 1.60, 5.2),
+    (65536, 1.60, 6.5),
 )
 CHUNK_BYTES = 2048
 #: A document is rejected when more than this share of its bytes lies in chunks outside their band.
