@@ -35,6 +35,8 @@ CHUNK, OVERLAP = 1024, 64
 #: At most this many labelled rows are used for training.
 TRAIN_ROWS = 3000
 EPOCHS, BATCH, RATE, SEED = 14, 32, 0.01, 11
+#: Few rows are gone over more often, until there were this many batches.
+STEPS = 400
 #: A document is kept from this probability on.
 KEEP = 0.2
 
@@ -111,7 +113,8 @@ class ByteCnn:
         m = {k: np.zeros_like(v) for k, v in self.p.items()}
         v2 = {k: np.zeros_like(v) for k, v in self.p.items()}
         r, step = np.random.default_rng(SEED + 1), 0
-        for epoch in range(EPOCHS):
+        epochs = max(EPOCHS, -(-STEPS // -(-len(docs) // BATCH)))
+        for epoch in range(epochs):
             order = r.permutation(len(docs))
             for lo in range(0, len(order), BATCH):
                 batch = order[lo : lo + BATCH]
@@ -140,7 +143,7 @@ class ByteCnn:
                 for k in self.p:
                     m[k] += 0.1 * (grad[k] - m[k])
                     v2[k] += 0.001 * (grad[k] ** 2 - v2[k])
-                    rate = RATE * (1 - epoch / EPOCHS)
+                    rate = RATE * (1 - epoch / epochs)
                     self.p[k] = (self.p[k] - rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v2[k] / (1 - 0.999**step)) + 1e-7)).astype(np.float32)
         self.trained = True
         return self
