@@ -188,3 +188,23 @@ def report_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 def report_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole way for a report for each order: pages to documents."""
     return process_reports(spark, report_pages(spark, sf_dir), "2024-01-01T00:00:00").documents
+
+
+@query(f"""
+WITH {FIELDS} SELECT o_orderkey, CASE WHEN ticker IS NULL THEN 'Company=Own;Ticker=X;Period=' || period ELSE 'Company=Own;Ticker=ACME' END AS fields FROM c""")
+def cover_supplement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fields of the pages before a filing fill in labels that its cover lacks, if company or ticker is among them."""
+    o = covers(spark, sf_dir).withColumn("all", M.cover_fields("t"))
+    ticker, period = M.field(F.col("all"), "Ticker"), M.field(F.col("all"), "Period")
+    item = lambda label, value: F.struct(F.lit(label).alias("label"), value.alias("value"))
+    own = F.when(ticker == "", F.array(item("Company", F.lit("Own")))).otherwise(F.array(item("Company", F.lit("Own")), item("Ticker", ticker)))
+    more = F.array(item("Ticker", F.lit("X")), item("Company", F.lit("Other")), item("Period", period), item("Ticker", F.lit("Y")))
+    pairs = o.select("o_orderkey", own.alias("own"), more.alias("more")).select("o_orderkey", M.supplement(F.col("own"), F.col("more")).alias("f"))
+    return pairs.select("o_orderkey", F.array_join(F.transform("f", lambda f: F.concat(f["label"], F.lit("="), f["value"])), ";").alias("fields"))
+
+
+@query("""
+SELECT CAST(o_orderkey AS VARCHAR) AS filing_id, '## ' || o_orderkey || chr(10) || chr(10) || CASE WHEN o_orderkey % 3 <> 0 THEN '- **PASS** `cover_page_fields`: Cover Page has all required fields' ELSE '- **FAIL** `cover_page_fields`: Missing: Company' || chr(10) || '  - Missing field: Company' END || chr(10) AS markdown FROM orders""")
+def quality_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The checks of each document as a list."""
+    return Q.report(Q.evaluate(faulty(spark, sf_dir), checks=["cover_page_fields"]))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ledgerloom.catalog.registry import query, table
 from ledgerloom.operators import detect as D, sections as S
+from ledgerloom.sources.dimensions import section_dim
 
 
 def pages(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
@@ -166,3 +167,11 @@ GROUP BY r.filing_id, key, start_page, end_page""")
 def ifrs_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sections of international reports: no caps, divider pages skipped, ended by the parent company's pages."""
     return S.split_sections(pages(spark, sf_dir, ABROAD_PAGE), ifrs=True).select("filing_id", "key", "start_page", "end_page", "text")
+
+
+@query("""
+SELECT * FROM (VALUES ('sec', 14, 5, 6, 14), ('ifrs', 5, 5, 0, 5)) AS t(report_type, n_sections, n_required, n_capped, last_place)""")
+def section_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The registered sections of each type of report."""
+    n = lambda c: F.count_if(c).cast("int")
+    return section_dim(spark).groupBy("report_type").agg(F.count("*").cast("int").alias("n_sections"), n(F.col("required")).alias("n_required"), n(F.col("cap").isNotNull()).alias("n_capped"), F.max("out_ord").alias("last_place"))
