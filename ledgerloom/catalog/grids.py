@@ -176,13 +176,13 @@ def render_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""
 SELECT l_orderkey, CASE WHEN l_orderkey % 2 = 0 THEN '| Item 2024 | June 30, 2023 | June 30, |' ELSE '| Item | June 30, | December 31, |' END || chr(10) || '| :--- | ---: | ---: |' || chr(10)
   || string_agg('| Part ' || l_partkey || ' | ' || {one(True)} || ' | ' || CASE WHEN l_linenumber = 2 AND n > 1 THEN '—' ELSE {two(True)} END || ' |', chr(10) ORDER BY {KEY}) AS markdown
-FROM (SELECT *, count(*) FILTER (l_linenumber <> 2) OVER (PARTITION BY l_orderkey) AS n FROM lineitem) GROUP BY l_orderkey""")
+FROM (SELECT *, CASE WHEN count(*) FILTER (l_linenumber = 2) OVER (PARTITION BY l_orderkey) = 1 THEN count(*) OVER (PARTITION BY l_orderkey) END AS n FROM lineitem) GROUP BY l_orderkey""")
 def own_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tables that bring their header, in one row or in two with years in the second; short rows end in a dash.
 
     Blank cells are gone by then, so years join the titles from the left.
     """
-    n = "count_if(l_linenumber <> 2) OVER (PARTITION BY l_orderkey) AS n"
+    n = "CASE WHEN count_if(l_linenumber = 2) OVER (PARTITION BY l_orderkey) = 1 THEN count(*) OVER (PARTITION BY l_orderkey) END AS n"
     rows = table(spark, sf_dir, "lineitem").selectExpr("*", n)
     row = f"CASE WHEN l_linenumber = 2 AND n > 1 THEN array('Part ' || l_partkey, {one()}) ELSE array('Part ' || l_partkey, {one()}, {two()}) END"
     t = rows.selectExpr("l_orderkey", f"struct({KEY}, {row} AS r) AS x").groupBy("l_orderkey").agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["r"]).alias("t"))
