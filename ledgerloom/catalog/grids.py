@@ -11,6 +11,10 @@ from ledgerloom.operators import render as R, repair as T
 KEY = "l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity"
 
 
+#: The line below the header of a table of three columns, as SQL.
+RULE = "'| " + " | ".join([":---"] + 2 * ["---:"]) + " |'"
+
+
 def one(duck: bool = False) -> str:
     return money("l_extendedprice", duck)
 
@@ -118,7 +122,7 @@ def prose_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-SELECT l_orderkey, CASE WHEN count(*) >= 2 THEN '|  | 2024 | 2023 |' || chr(10) || '| :--- | ---: | ---: |' || chr(10) || '| Total | 2024 | 2023 |' || chr(10) ||
+SELECT l_orderkey, CASE WHEN count(*) >= 2 THEN '|  | 2024 | 2023 |' || chr(10) || {RULE} || chr(10) || '| Total | 2024 | 2023 |' || chr(10) ||
   string_agg('| Sales of ' || p || ' | ' || {one(True)} || ' | ' || {two(True)} || ' |', chr(10) ORDER BY {KEY}) END AS markdown
 FROM (SELECT *, chr(CAST(65 + l_partkey % 26 AS INTEGER)) AS p FROM lineitem) GROUP BY l_orderkey""")
 def text_as_table(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -152,7 +156,7 @@ def orphan_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-SELECT l_orderkey, '|  | 2024 | 2023 |' || chr(10) || '| :--- | ---: | ---: |' || chr(10) || string_agg('| Part ' || l_partkey || ' | $ ' || {one(True)} || ' | $ (' || {two(True)} || ') |', chr(10) ORDER BY {KEY}) AS markdown
+SELECT l_orderkey, '|  | 2024 | 2023 |' || chr(10) || {RULE} || chr(10) || string_agg('| Part ' || l_partkey || ' | $ ' || {one(True)} || ' | $ (' || {two(True)} || ') |', chr(10) ORDER BY {KEY}) AS markdown
 FROM lineitem GROUP BY l_orderkey""")
 def repaired_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All repairs of a statement in turn, rendered: sparse cells, split brackets, a header from the text."""
@@ -162,8 +166,8 @@ def repaired_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("l_orderkey", R.markdown_table(x["header"], x["rows"], x["width"]).alias("markdown"))
 
 
-@query("""
-SELECT n_nationkey, '|  | Region | Key |' || chr(10) || '| :--- | ---: | ---: |' || chr(10) || '| ' || n_name || ' | ' || r_name || ' | ' || n_nationkey || ' |' || chr(10) || '| too few |  |  |' AS markdown
+@query(f"""
+SELECT n_nationkey, '|  | Region | Key |' || chr(10) || {RULE} || chr(10) || '| ' || n_name || ' | ' || r_name || ' | ' || n_nationkey || ' |' || chr(10) || '| too few |  |  |' AS markdown
 FROM nation JOIN region ON r_regionkey = n_regionkey""")
 def render_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Markdown of a table with a short and a long row."""
@@ -174,7 +178,7 @@ def render_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-SELECT l_orderkey, CASE WHEN l_orderkey % 2 = 0 THEN '| Item 2024 | June 30, 2023 | June 30, |' ELSE '| Item | June 30, | December 31, |' END || chr(10) || '| :--- | ---: | ---: |' || chr(10)
+SELECT l_orderkey, CASE WHEN l_orderkey % 2 = 0 THEN '| Item 2024 | June 30, 2023 | June 30, |' ELSE '| Item | June 30, | December 31, |' END || chr(10) || {RULE} || chr(10)
   || string_agg('| Part ' || l_partkey || ' | ' || {one(True)} || ' | ' || CASE WHEN l_linenumber = 2 AND n > 1 THEN '—' ELSE {two(True)} END || ' |', chr(10) ORDER BY {KEY}) AS markdown
 FROM (SELECT *, CASE WHEN count(*) FILTER (l_linenumber = 2) OVER (PARTITION BY l_orderkey) = 1 THEN count(*) OVER (PARTITION BY l_orderkey) END AS n FROM lineitem) GROUP BY l_orderkey""")
 def own_headers(spark: SparkSession, sf_dir: str) -> DataFrame:

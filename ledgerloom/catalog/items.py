@@ -286,9 +286,12 @@ def confidence_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored(spark, sf_dir)[0]
 
 
+SCORE_RULE = "|" + "|".join(":" + "-" * n for n in (10, 7, 11, 14)) + "|"
+
+
 @query(f"""WITH {SCORED}, t AS (SELECT *, CASE key WHEN 'income_statement' THEN 1 WHEN 'balance_sheet' THEN 2 ELSE 3 END AS o, CASE WHEN errors > 0 THEN discrepancies || ' (' || errors || ' ERROR, ' || warns || ' WARN)' WHEN warns > 0 THEN discrepancies || ' (' || warns || ' WARN)'
   WHEN discrepancies = 0 THEN 'None' ELSE discrepancies || ' found' END AS words FROM score)
-SELECT filing_id, '| Statement | Source | Confidence | Discrepancies |' || chr(10) || '|:----------|:-------|:-----------|:--------------|' || chr(10) || string_agg('| ' || key || ' | ' || source || ' | ' || {money('confidence', True, 1)} || ' | ' || words || ' |', chr(10) ORDER BY o) AS top FROM t GROUP BY filing_id""")
+SELECT filing_id, '| Statement | Source | Confidence | Discrepancies |' || chr(10) || '{SCORE_RULE}' || chr(10) || string_agg('| ' || key || ' | ' || source || ' | ' || {money('confidence', True, 1)} || ' | ' || words || ' |', chr(10) ORDER BY o) AS top FROM t GROUP BY filing_id""")
 def confidence_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The scores of each filing as markdown, without the table of single discrepancies."""
     scores, found = scored(spark, sf_dir)

@@ -42,7 +42,7 @@ def cover_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-WITH {FIELDS} SELECT o_orderkey, '| Field | Value |' || {NL} || '|-------|-------|' || {NL} || concat_ws({NL}, '| Filing Type | ' || form || ' |', '| Company | ' || company || ' |', '| Period | ' || period || ' |', '| Commission File Number | ' || commission || ' |',
+WITH {FIELDS} SELECT o_orderkey, '| Field | Value |' || {NL} || '|' || repeat('-------|', 2) || {NL} || concat_ws({NL}, '| Filing Type | ' || form || ' |', '| Company | ' || company || ' |', '| Period | ' || period || ' |', '| Commission File Number | ' || commission || ' |',
   '| CIK | ' || cik || ' |', '| Shares Outstanding | ' || shares || ' |', '| Ticker | ' || ticker || ' |') AS markdown FROM c""")
 def cover_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return covers(spark, sf_dir).select("o_orderkey", M.cover_table(M.cover_fields("t"), F.col("t")).alias("markdown"))
@@ -96,9 +96,11 @@ def assemble_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.assemble(filings, sheets.union(income), section_dim(spark))
 
 
-@query("""
-WITH a AS (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY l_orderkey)
-SELECT CAST(l_orderkey AS VARCHAR) AS filing_id, '| Check | Status | Detail |' || chr(10) || '|:------|:-------|:-------|' || chr(10) || string_agg('| Check ' || l_linenumber || ' | PASS | ' || l_partkey || ' |', chr(10) ORDER BY l_linenumber, l_partkey, l_suppkey) AS markdown
+CHECK_RULE = "|" + "|".join(":" + "-" * n for n in (6, 7, 7)) + "|"
+
+
+@query(f"""
+SELECT CAST(l_orderkey AS VARCHAR) AS filing_id, '| Check | Status | Detail |' || chr(10) || '{CHECK_RULE}' || chr(10) || string_agg('| Check ' || l_linenumber || ' | PASS | ' || l_partkey || ' |', chr(10) ORDER BY l_linenumber, l_partkey, l_suppkey) AS markdown
 FROM lineitem GROUP BY l_orderkey""")
 def validation_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Check results as tables."""
@@ -109,7 +111,7 @@ def validation_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
 # checks of documents: a rendered document for each order, with faults that depend on its key
 
 TABLE = "'| | 2024 |' || chr(10) || '| :--- | ---: |' || chr(10) || '| a | 1 |' || chr(10) || '| b | 2 |' || chr(10) || '| c | 3 |' || chr(10) || CASE WHEN k % 4 = 0 THEN '' ELSE '| d | 4 |' || chr(10) || '| e | 5 |' || chr(10) END"
-TITLES = ("Consolidated Balance Sheets", "Consolidated Statements of Income", "Consolidated Statements of Cash Flows", "Consolidated Statements of Stockholders'' Equity")
+TITLES = tuple(f"Consolidated {x}" for x in ("Balance Sheets", *(f"Statements of {y}" for y in ("Income", "Cash Flows", "Stockholders'' Equity"))))
 LONG = "'" + "words that go on for quite a while " * 7 + "'"
 FAULTY = f"""'# doc' || chr(10) || '## Cover Page' || chr(10) || '| Filing Type | ' || CASE WHEN k % 2 = 0 THEN '10-K' ELSE '10-Q' END || ' |' || chr(10) || CASE WHEN k % 3 = 0 THEN '' ELSE '| Company | x |' || chr(10) END || '| Period | June |' || chr(10)
   || '## {TITLES[0]}' || chr(10) || {TABLE} || '## {TITLES[1]}' || chr(10) || CASE WHEN k % 5 = 0 THEN 'no table in here at all' || chr(10) ELSE {TABLE} END || CASE WHEN k % 7 = 0 THEN '' ELSE '## {TITLES[2]}' || chr(10) || {TABLE} END

@@ -12,8 +12,8 @@ DRESSED = """'Overview of Business Results' || chr(10) || text || chr(10) || '
    || 'F-' || (doc_id % 80) || chr(10) || 'See accompanying Notes to the statements' || chr(10) || 'Item 1A. Risk Factors' || chr(10) || (doc_id % 50) || ' Acme Corp Form 10-K' || chr(10)
    || 'and so it goes on' || chr(10) || chr(10) || 'Running Header Line' || chr(10) || 'some words F-12' || chr(10) || 'Running Header Line' || chr(10) || 'in the end' || chr(10) || 'Running Header Line'"""
 LINES = f"SELECT doc_id, string_split({DRESSED}, chr(10)) AS x FROM documents WHERE text IS NOT NULL"
-NUMBER, FOOTER, F_PAGE = r"^\s*[0-9]{1,3}\s*$", r"(?i)^\s*.{3,50}\s*\|\s*[0-9]{4}\s+form\s+10-[kq](/a)?\s*\|\s*[0-9]{1,3}\s*$", r"^\s*F-[0-9]{1,3}\s*$"
-NOTES, NUMBERED = r"(?i)^\s*(see|the)\s+(accompanying\s+)?(notes?\s+to|the\s+notes)", r"(?i)^\s*[0-9]{1,3}\s+.{3,40}\s+(form\s+10-[kq]|annual\s+report)"
+NUMBER, FOOTER, F_PAGE = "^ *[0-9]{1,3} *$", "(?i)^ *.{3,50} *[|] *[0-9]{4} +form +10-[kq](/a)? *[|] *[0-9]{1,3} *$", "^ *F-[0-9]{1,3} *$"
+NOTES, NUMBERED = "(?i)^ *(see|the) +(accompanying +)?(notes? +to|the +notes)", "(?i)^ *[0-9]{1,3} +.{3,40} +(form +10-[kq]|annual +report)"
 
 
 def dressed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,7 +47,7 @@ def clean_raw_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SUBHEADING = """(len(w(s)) BETWEEN 2 AND 10 AND length(s) < 80 AND NOT regexp_matches(s, '([,;:]|and|or)$') AND regexp_matches(s, '^\\p{Lu}')
-  AND len(list_filter(w(s), lambda y: regexp_matches(y, '^\\p{Lu}'))) / greatest(len(w(s)), 1) >= 0.6 AND NOT regexp_matches(s, '^[A-Z][\\p{L}\\p{N}_]+\\s+[a-z].*[a-z]\\s+[a-z]'))"""
+  AND len(list_filter(w(s), lambda y: regexp_matches(y, '^\\p{Lu}'))) / greatest(len(w(s)), 1) >= 0.6 AND NOT regexp_matches(s, '^[A-Z][\\p{L}\\p{N}_]+ +[a-z].*[a-z] +[a-z]'))"""
 SUBHEADING = SUBHEADING.replace("w(s)", "list_filter(regexp_split_to_array(s, '\\s+'), lambda y: y <> '')")
 
 

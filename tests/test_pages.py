@@ -8,10 +8,10 @@ COMMISSION = "UNITED STATES\nSECURITIES AND EXCHANGE COMMISSION\nWashington, D.C
 STARTS = {
     "cover on 1": ([(1, COMMISSION), (2, "other")], 1),
     "cover later": ([(1, "Dear holders"), (2, "more"), (50, COMMISSION)], 50),
-    "registrant": ([(1, "x"), (30, "Apple Inc.\n(Exact name of registrant as specified in its charter)\n")], 30),
+    "registrant": ([(1, "x"), (30, "Birch Ltd\n(Exact name of registrant)\n")], 30),
     "footer": ([(1, "x"), (83, "text\nJPMorgan Chase & Co./2024 Form 10-K 49\n")], 83),
     "none": ([(1, "plain"), (2, "text")], 1),
-    "contents": ([(1, "TABLE OF CONTENTS\nFORM 10-K.............. 5\nRisk.............. 9\nNotes............ 12\n" + COMMISSION), (5, COMMISSION)], 5),
+    "contents": ([(1, "TABLE OF CONTENTS\nFORM 10-K...... 5\nRisk.............. 9\nNotes............ 12\n" + COMMISSION), (5, COMMISSION)], 5),
     "footer on 1": ([(1, "Company Inc./2024 Form 10-K 1\nand"), (7, "x\nCompany Inc./2024 Form 10-K 7\n")], 1),
 }
 

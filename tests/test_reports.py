@@ -18,14 +18,14 @@ from ledgerloom.streaming.reports import process_stream, stream_pages
 ROOT = Path(__file__).resolve().parents[1]
 COVER = """UNITED STATES
 SECURITIES AND EXCHANGE COMMISSION
-FORM 10-Q
-QUARTERLY PERIOD ENDED June 30, 2024
-Commission File Number: 001-12345
+FORM 10-Q, unaudited
+For the quarterly period ended June 30, 2024
+Commission File Number: 001-54321
 Acme Corp
-(Exact name of registrant as specified in its charter)
-Central Index Key: 0001234567
+(Exact name of registrant as its charter has it)
+Central Index Key: 0007654321
 1,000,000 shares of common stock
-Trading Symbol: ACME
+Trading Symbol: BRCH
 Name of exchange on which registered: NYSE"""
 SHEET = [["", "2024", ""], ["Total assets", "$", "1,000"], ["Total liabilities", "", "600"], ["Total stockholders' equity", "", "400"]]
 
@@ -48,14 +48,14 @@ def pages(spark):
 def run(spark, pages):
     fact = lambda v: [{"end": "2024-06-30", "val": v, "accn": "1-24-7"}]
     facts = json.dumps({"facts": {"us-gaap": {c: {"units": {"USD": fact(v)}} for c, v in (("Assets", 1000), ("Liabilities", 590), ("StockholdersEquity", 300))}}})
-    subs = json.dumps({"filings": {"recent": {"accessionNumber": ["1-24-7"], "form": ["10-Q"], "reportDate": ["2024-06-30"]}}})
-    doc = lambda text: spark.createDataFrame([("0001234567", text)], "filer string, json string")
+    subs = json.dumps({"filings": {"recent": {"form": ["10-Q"], "reportDate": ["2024-06-30"], "accessionNumber": ["1-24-7"]}}})
+    doc = lambda text: spark.createDataFrame([("0007654321", text)], "filer string, json string")
     return process_reports(spark, pages, "2024-07-01", facts_long(doc(facts)), submissions_long(doc(subs)))
 
 
 def test_cover():
     got = dict(cover_fields(COVER))
-    assert {k: got[k] for k in ("Filing Type", "Company", "Period", "Ticker", "CIK", "Exchange")} == {"Filing Type": "10-Q", "Company": "Acme Corp", "Period": "June 30, 2024", "Ticker": "ACME", "CIK": "0001234567", "Exchange": "NYSE"}
+    assert {k: got[k] for k in ("Filing Type", "Company", "Period", "Ticker", "CIK", "Exchange")} == dict(zip(("Period", "Exchange", "Company", "CIK", "Ticker", "Filing Type"), ("June 30, 2024", "NYSE", "Acme Corp", "0007654321", "BRCH", "10-Q")))
     assert cover_fields("") == [] and cover_fields("Nothing relevant here") == []
 
 
