@@ -7,9 +7,9 @@ sets.  Arrivals are drawn in rounds, and a shingle stops as soon as its next arr
 its document (early termination).
 
 Near duplicates are then found by banding (documents that agree on all registers of a band share a bucket) and
-verified: two documents are linked when the share of agreeing registers reaches the threshold.  In a bucket, documents
-are compared with the leaders of the bucket so far and linked to the first that they match; a document that matches none becomes a
-leader.  Thousands of copies so cost one comparison each, and no bucket is capped.  Exact copies
+verified: two documents are linked when the share of agreeing registers reaches the threshold.  In a bucket, every pair
+is compared unless its documents are in one component already or are too far apart by the triangle inequality, so the
+components of a bucket are exact.  Thousands of close copies so cost one comparison each, and no bucket is capped.  Exact copies
 share one signature and are joined by the signature before any bucket is built.  Groups are the connected components of
 the links.
 
@@ -157,16 +157,36 @@ def document_signatures(df: DataFrame, id_col: str = "doc_id", text_col: str = "
     return map_arrow(df.select(id_col, text_col).where(F.col(id_col).isNotNull()), run, "doc_id bigint, signature binary")
 
 
-def leaders(ids: np.ndarray, signs: np.ndarray, threshold: float) -> tuple[list[int], list[int]]:
-    """Links (document, leader) of one bucket; ids rising, so that the smallest id leads."""
-    need = int(np.ceil(threshold * signs.shape[1] - 1e-9))
+def links(ids: np.ndarray, signs: np.ndarray, threshold: float) -> tuple[list[int], list[int]]:
+    """Links (document, document) that span the connected components of one bucket: every pair that agrees on enough
+    registers is in one of them.
+
+    A component grows from its first document: each of its members is compared with the documents that no component has
+    yet.  The registers on which two documents differ are a metric, so a member skips those that the first document
+    shows to be too far from it; of a tight cluster only the first document meets the rest of the bucket.
+    """
+    far = signs.shape[1] - int(np.ceil(threshold * signs.shape[1] - 1e-9))  # registers that linked documents may differ on
     a, b, rest = [], [], np.arange(len(ids))
     while len(rest) > 1:
-        first, others = rest[0], rest[1:]
-        same = (signs[others] == signs[first]).sum(1) >= need
-        a += ids[others[same]].tolist()
-        b += [int(ids[first])] * int(same.sum())
-        rest = others[~same]
+        root, rest = rest[0], rest[1:]
+        from_root = np.zeros(len(ids), np.int64)
+        from_root[rest] = (signs[rest] != signs[root]).sum(1)
+        member, waiting, gap = root, [], from_root[rest]
+        while True:
+            if member == root:
+                near = gap <= far
+            else:
+                near = gap <= far + from_root[member]
+                at = np.flatnonzero(near)
+                near[at] = (signs[rest[at]] != signs[member]).sum(1) <= far
+            found = rest[near]
+            a += ids[found].tolist()
+            b += [int(ids[member])] * len(found)
+            waiting += found.tolist()
+            rest, gap = rest[~near], gap[~near]
+            if not waiting or not len(rest):
+                break
+            member = waiting.pop()
     return a, b
 
 
@@ -214,7 +234,7 @@ def duplicate_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         ids = t.column("doc_id").to_numpy()
         order = np.argsort(ids, kind="stable")
         signs = np.frombuffer(b"".join(t.column("signature").to_pylist()), np.uint32).reshape(len(ids), registers)
-        a, b = leaders(ids[order], signs[order], threshold)
+        a, b = links(ids[order], signs[order], threshold)
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     near = members.join(copies.select("doc_id", "signature"), "doc_id").groupBy("bucket").applyInArrow(compare, "a bigint, b bigint")

@@ -204,6 +204,58 @@ def test_near_duplicates_of_awkward_rows(awkward, empty):
     assert pmh.duplicate_groups(empty).count() == pmh.near_dedup(empty).count() == 0
 
 
+def copies_of_one(n, at, similarity, seed):
+    """Ideal signatures of n edited copies of an original, whose place among the ids is given."""
+    r = np.random.default_rng(seed)
+    original = r.integers(0, 1 << 32, pmh.REGISTERS, dtype=np.uint32)
+    signs = np.where(r.random((n, pmh.REGISTERS)) < similarity, original, r.integers(0, 1 << 32, (n, pmh.REGISTERS), dtype=np.uint32))
+    return np.insert(signs, at, original, axis=0)
+
+
+def united(n, edges):
+    parent = list(range(n))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        lo, hi = sorted((find(a), find(b)))
+        parent[hi] = lo
+    return [find(x) for x in range(n)]
+
+
+def all_pairs(signs):
+    return [(a, b) for a in range(len(signs)) for b in range(a) if (signs[a] == signs[b]).mean() >= pmh.THRESHOLD]
+
+
+@pytest.mark.parametrize("n, similarity", [(60, 0.67), (200, 0.67), (120, 0.55), (120, 0.9)])
+def test_components_of_a_bucket_are_exact(n, similarity):
+    signs = np.concatenate([copies_of_one(n, n // 2, similarity, 6), copies_of_one(n // 2, n // 4, 0.6, 7)])
+    a, b = pmh.links(np.arange(len(signs)), signs, pmh.THRESHOLD)
+    want = united(len(signs), all_pairs(signs))
+    assert united(len(signs), zip(a, b)) == want and len(a) == len(signs) - len(set(want))
+
+
+def test_edited_copies_meet_through_an_original_of_a_middle_id(spark):
+    r = np.random.default_rng(1)
+    words = [f"w{k}" for k in range(400)]
+    texts = {100: " ".join(words)}
+    for k in [*range(40, 100), *range(101, 160)]:
+        copy = list(words)
+        for j in r.choice(400, 30, replace=False):
+            copy[j] = f"x{k}y{j}"
+        texts[k] = " ".join(copy)
+    ids = sorted(texts)
+    sign, _ = pmh.sketch([texts[i] for i in ids])
+    share = [(a, b) for a, b in all_pairs(sign) if (sign[a] == sign[b]).reshape(-1, pmh.ROWS).all(1).any()]
+    want = {ids[k]: ids[root] for k, root in enumerate(united(len(ids), share))}
+    df = spark.createDataFrame(sorted(texts.items()), "doc_id bigint, text string")
+    got = {x.doc_id: x.group_id for x in pmh.duplicate_groups(df).collect()}
+    assert {i: got.get(i, i) for i in ids} == want and sum(g == 40 for g in got.values()) > 110
+
+
 # 9
 
 
