@@ -4,10 +4,11 @@ A candidate is a long run of token characters in a sensitive context: assigned t
 ``api_key``, after ``Bearer``, or with the prefix of an issuer of keys; plain words are none.  What it adds to its surroundings is measured:
 zstandard is primed with a dictionary of common identifiers and the text around the candidate (without the candidate
 itself), and the bytes that compressing the candidate then takes are its marginal bytes.
-Words, identifiers, paths and placeholders are cheap after such a dictionary; a random string costs all its length.
+Words, identifiers, paths and placeholders are cheap after such a dictionary; a random string costs all that its alphabet holds.
 The candidate is measured behind a carrier of known words, so that even a short one pays for its own bytes only and not
 for the frame of a compressed block.  Candidates whose novelty (marginal bytes over the bytes that a random string of
-their alphabet takes: half of its length for hexadecimal digits) reaches the limit are reported.
+their alphabet and length takes, as measured: long ones take less, and hexadecimal digits never more than half of their
+length) reaches the limit are reported.
 
 Defined results
 ---------------
@@ -21,7 +22,9 @@ Defined results
 
 from __future__ import annotations
 
+import random
 import re
+import string
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -30,7 +33,7 @@ from pyspark.sql import DataFrame
 
 from ledgerloom.llm.common import map_arrow
 
-#: Marginal bytes for each byte of the candidate, from which it counts as incompressible.
+#: Share of a random string's marginal bytes, from which a candidate counts as incompressible.
 NOVELTY = 0.85
 #: Characters on either side that prime the dictionary.
 AROUND = 1024
@@ -70,21 +73,60 @@ CARRIER = IDENTIFIERS[-200:] + b" "
 HEXADECIMAL = re.compile(r"(?=.*[0-9])(?=.*[A-Fa-f])[0-9A-Fa-f]+")
 
 
+#: A signed web token; its last part is the signature.
+SIGNED = re.compile(r"eyJ[A-Za-z0-9_\-]+\.[A-Za-z0-9_\-]+\.([A-Za-z0-9_\-]{16,})")
+
+
+def alphabet(value: str) -> str:
+    """The characters that a random string like value is made of: its digits' and letters' whole classes, its other marks."""
+    if HEXADECIMAL.fullmatch(value):
+        return "0123456789abcdef"
+    classes = [c for c in (string.digits, string.ascii_lowercase, string.ascii_uppercase) if not set(c).isdisjoint(value)]
+    return "".join(classes + sorted(set(value) - set(string.digits + string.ascii_letters)))
+
+
 class Novelty:
-    """Marginal compressed bytes of candidates."""
+    """Marginal compressed bytes of candidates, as a share of those of random strings."""
 
     def __init__(self):
         self.params = zstandard.ZstdCompressionParameters.from_level(15, window_log=14, hash_log=12, chain_log=12, min_match=3, write_content_size=False, write_dict_id=False)
+        self.random: dict[tuple[str, int], float] = {}
+
+    def marginal(self, data: bytes, primed: bytes) -> int:
+        compress = zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(primed, dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=self.params).compress
+        return max(0, len(compress(CARRIER + data)) - len(compress(CARRIER)))
+
+    def of_random(self, value: str, size: int) -> float:
+        """Bytes for each byte that a random string of the value's alphabet takes.
+
+        Literals of long strings are Huffman-coded, so it falls with the length.  The least of some strings of twice the
+        length up to the next power of two is taken: no random value comes much below.
+        """
+        key = alphabet(value), 2 << max(3, (size - 1).bit_length())
+        if key not in self.random:
+            if len(self.random) >= 4096:
+                self.random.clear()
+            draw = random.Random(repr(key))
+            samples = ("".join(draw.choices(key[0], k=key[1])).encode("utf-8", "surrogatepass") for _ in range(4))
+            self.random[key] = min(1.0, *(self.marginal(x, IDENTIFIERS) / len(x) for x in samples))
+            if HEXADECIMAL.fullmatch(value):
+                self.random[key] = min(0.5, self.random[key])
+        return self.random[key]
 
     def __call__(self, text: str, lo: int, hi: int) -> float:
-        """Of text[lo:hi], against what is around it; repetitions of it don't count as surroundings, at the edge neither."""
+        """Of text[lo:hi], against what is around it; repetitions of it don't count as surroundings, at the edge neither.
+
+        A signed token is as novel as its signature, whatever its readable parts repeat.
+        """
         value, reach = text[lo:hi], AROUND + hi - lo
         around = text[max(0, lo - reach) : lo].replace(value, " ")[-AROUND:] + " " + text[hi : hi + reach].replace(value, " ")[:AROUND]
-        primed = zstandard.ZstdCompressionDict(IDENTIFIERS + b" " + around.encode("utf-8", "surrogatepass"), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-        compress = zstandard.ZstdCompressor(dict_data=primed, compression_params=self.params).compress
+        primed = IDENTIFIERS + b" " + around.encode("utf-8", "surrogatepass")
+        signed = SIGNED.fullmatch(value)
+        return max(self.share(x, primed) for x in ((value, signed[1]) if signed else (value,)))
+
+    def share(self, value: str, primed: bytes) -> float:
         data = value.encode("utf-8", "surrogatepass")
-        marginal = max(0, len(compress(CARRIER + data)) - len(compress(CARRIER)))
-        return min(1.0, marginal / (len(data) * (0.5 if HEXADECIMAL.fullmatch(value) else 1.0)))
+        return min(1.0, self.marginal(data, primed) / (len(data) * self.of_random(value, len(data))))
 
 
 def candidates(text: str) -> list[tuple[int, int, str]]:

@@ -1,10 +1,13 @@
 """Operators that look at one document at a time."""
 
 import base64
+import json
 import random
 import re
+import string
 
 import numpy as np
+import pytest
 import tiktoken
 import zstandard
 from hypothesis import given, settings, strategies as st
@@ -173,6 +176,35 @@ def test_redaction_of_awkward_rows(spark, awkward, empty):
     assert [tuple(r) for r in secrets.redact_secrets(df).collect()] == [(1, "token = [REDACTED]!", 19, "x")] * 2
 
 
+ALPHABETS = {"digits": "0123456789", "hex": "0123456789abcdef", "base32": string.ascii_uppercase + "234567", "alphanumeric": string.ascii_letters + string.digits, "base64": string.ascii_letters + string.digits + "+/", "marks": string.ascii_letters + string.digits + "+/_-.~@#$%^&*"}
+SURROUNDED = "The settings below are read at start. api_key = {}\nThe rest of the document goes on for a while."
+
+
+def lost(values):
+    novelty = secrets.Novelty()
+    spans = ((SURROUNDED.format(v), v) for v in values)
+    return [v for t, v in spans if [t[lo:hi] for lo, hi, _, _ in secrets.findings(t, novelty)] != [v]]
+
+
+def json_token(r, size):
+    part = lambda data: base64.urlsafe_b64encode(data).decode().rstrip("=")
+    claims = {"iss": "https://accounts.example.org/", "sub": str(r.randrange(10**9)), "iat": r.randrange(10**9), "scope": " ".join(r.choices(("read:users", "write:users", "read:orders", "admin", "profile"), k=size))}
+    return ".".join((part(b'{"alg":"RS256","typ":"JWT"}'), part(json.dumps(claims).encode()), part(r.randbytes(256))))
+
+
+@pytest.mark.parametrize("name", ALPHABETS)
+def test_random_values_of_any_length_are_secrets(name):
+    r = random.Random(7)
+    sizes = [n for n in (16, 24, 40, 64, 100, 128, 200, 256, 400, 512, 800, 1024, 2048, 4096) for _ in range(8)]
+    # the last character is a letter or digit: closing marks belong to the sentence
+    assert lost("".join(r.choices(ALPHABETS[name], k=n - 1)) + "7" for n in sizes) == []
+
+
+def test_signed_tokens_of_any_length_are_secrets():
+    r = random.Random(8)
+    assert lost(json_token(r, n) for n in range(1, 60)) == []
+
+
 # 10
 
 
