@@ -1,10 +1,10 @@
 """Secret scans by dictionary-primed zstandard novelty.
 
 A candidate is a long run of token characters in a sensitive context: assigned to a name such as ``password`` or
-``api_key``, after ``Bearer``, or with the prefix of an issuer of keys; plain words are none.  What it adds to its surroundings is measured:
+``api_key``, after ``Bearer``, or with the prefix of an issuer of keys.  What it adds to its surroundings is measured:
 zstandard is primed with a dictionary of common identifiers and the text around the candidate (without the candidate
 itself), and the bytes that compressing the candidate then takes are its marginal bytes.
-Words, identifiers, paths and placeholders are cheap after such a dictionary; a random string costs all that its alphabet holds.
+In a value of letters only, a word that the tokenizer's vocabulary has takes two bytes at most.  Words, identifiers, paths and placeholders are cheap after such a dictionary; a random string costs all that its alphabet holds.
 The candidate is measured behind a carrier of known words, so that even a short one pays for its own bytes only and not
 for the frame of a compressed block.  Candidates whose novelty (marginal bytes over the bytes that a random string of
 their alphabet and length takes, as measured: long ones take less, and hexadecimal digits never more than half of their
@@ -25,12 +25,14 @@ from __future__ import annotations
 import random
 import re
 import string
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 
+from ledgerloom.llm.bpe import VOCABULARY, load_ranks
 from ledgerloom.llm.common import map_arrow
 
 #: Share of a random string's marginal bytes, from which a candidate counts as incompressible.
@@ -45,8 +47,9 @@ ASSIGNED = re.compile(
 )
 #: What may follow: a run of token characters.
 VALUE = re.compile(r"[A-Za-z0-9+/_\-.~!@#$%^&*]{8,}=*")
-#: Plain words after a sensitive name ("the secret: understanding") are no candidates.
-WORDS = re.compile(r"(?:[A-Z]?[a-z]{1,24}|[A-Z]{1,24})(?:[-_./][A-Z]?[a-z]{1,24}){0,4}")
+#: Values of letters in runs; plain words ("the secret: understanding") are cheap by a dictionary of words.
+LETTERS = re.compile(r"[A-Za-z]+(?:[-_./]+[A-Za-z]+)*")
+RUN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 #: Issuers' prefixes stand for a context of their own.
 ISSUED = re.compile(
     r"(?<![A-Za-z0-9])(?:(?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{30,}|github_pat_[A-Za-z0-9_]{30,}|glpat-[A-Za-z0-9_\-]{20,}|xox[abprs]-[A-Za-z0-9\-]{16,}|[sr]k_(?:live|test)_[A-Za-z0-9]{16,}|AIza[A-Za-z0-9_\-]{30,}|eyJ[A-Za-z0-9_\-]{16,}\.[A-Za-z0-9_\-]{16,}(?:\.[A-Za-z0-9_\-]+)?)"
@@ -73,6 +76,8 @@ CARRIER = IDENTIFIERS[-200:] + b" "
 HEXADECIMAL = re.compile(r"(?=.*[0-9])(?=.*[A-Fa-f])[0-9A-Fa-f]+")
 
 
+#: Longest word that is looked for inside a run of letters.
+INSIDE = 24
 #: A signed web token; its last part is the signature.
 SIGNED = re.compile(r"eyJ[A-Za-z0-9_\-]+\.[A-Za-z0-9_\-]+\.([A-Za-z0-9_\-]{16,})")
 
@@ -85,10 +90,22 @@ def alphabet(value: str) -> str:
     return "".join(classes + sorted(set(value) - set(string.digits + string.ascii_letters)))
 
 
+_WORDS: dict[str, frozenset[str]] = {}
+
+
+def known_words(path: str = VOCABULARY) -> frozenset[str]:
+    """The words of the tokenizer's vocabulary in lower case, read once for each process."""
+    if path not in _WORDS:
+        tokens = (t.decode("utf-8", "replace").strip() for t in load_ranks(path))
+        _WORDS[path] = frozenset(t.lower() for t in tokens if len(t) > 1 and t.isascii() and t.isalpha())
+    return _WORDS[path]
+
+
 class Novelty:
     """Marginal compressed bytes of candidates, as a share of those of random strings."""
 
-    def __init__(self):
+    def __init__(self, path: str = VOCABULARY):
+        self.path = path
         self.params = zstandard.ZstdCompressionParameters.from_level(15, window_log=14, hash_log=12, chain_log=12, min_match=3, write_content_size=False, write_dict_id=False)
         self.random: dict[tuple[str, int], float] = {}
 
@@ -121,9 +138,30 @@ class Novelty:
         value, reach = text[lo:hi], AROUND + hi - lo
         around = text[max(0, lo - reach) : lo].replace(value, " ")[-AROUND:] + " " + text[hi : hi + reach].replace(value, " ")[:AROUND]
         primed = IDENTIFIERS + b" " + around.encode("utf-8", "surrogatepass")
+        if LETTERS.fullmatch(value):
+            least = min(self.marginal(value.encode(), primed), self.marginal(self.shortened(value), primed))
+            return min(1.0, least / (len(value) * self.of_random(value, len(value))))
         signed = SIGNED.fullmatch(value)
         return max(self.share(x, primed) for x in ((value, signed[1]) if signed else (value,)))
 
+    def shortened(self, value: str) -> bytes:
+        """A value of letters with two bytes, a place in a dictionary, for each word in it and a separator after it.
+
+        Whole runs count, and inside a run words of five letters and more, which random letters hardly contain.
+        """
+        words = known_words(self.path)
+
+        def of_run(run: str) -> bytes:
+            low, out, at = run.lower(), b"", 0
+            while at < len(low):
+                size = len(low) if not at and low in words else next((n for n in range(min(INSIDE, len(low) - at), 4, -1) if low[at : at + n] in words), 0)
+                out += bytes(128 | x for x in zlib.crc32(low[at : at + size].encode()).to_bytes(4)[:2]) if size else run[at].encode()
+                at += size or 1
+            return out
+
+        out = b"".join(of_run(x) if x.isalpha() else x.encode() for x in re.findall(rf"{RUN.pattern}|.", value))
+        return re.sub(rb"([\x80-\xff])[-_./]", rb"\1", out)
+
     def share(self, value: str, primed: bytes) -> float:
         data = value.encode("utf-8", "surrogatepass")
         return min(1.0, self.marginal(data, primed) / (len(data) * self.of_random(value, len(data))))
@@ -135,7 +173,7 @@ def candidates(text: str) -> list[tuple[int, int, str]]:
     for m in ASSIGNED.finditer(text):
         if v := VALUE.match(text, m.end()):
             end = v.end() - (len(v[0]) - len(v[0].rstrip(".!*")))  # closing marks belong to the sentence
-            if end - v.start() >= 8 and not WORDS.fullmatch(text, v.start(), end):
+            if end - v.start() >= 8:
                 found.append((v.start(), end, "assigned"))
     found += [(m.start(), m.end(), "issued") for m in ISSUED.finditer(text)]
     out, last = [], 0

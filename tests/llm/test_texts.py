@@ -205,6 +205,16 @@ def test_signed_tokens_of_any_length_are_secrets():
     assert lost(json_token(r, n) for n in range(1, 60)) == []
 
 
+def test_random_letters_are_secrets_and_words_are_none():
+    r = random.Random(9)
+    lower, upper = string.ascii_lowercase, string.ascii_uppercase
+    values = ["".join(r.choices(a, k=n)) for a in (lower, upper) for n in (12, 16, 20, 24, 40, 100) for _ in range(10)]
+    values += ["-".join("".join(r.choices(lower, k=4)) for _ in range(4)) for _ in range(20)]
+    assert lost(["qzvkwxjtrplmhgdf", "QWZXKPLMNBVTRGHJ", "xkqj-zvbm-wtrp-lnhg", *values]) == []
+    calm = ("understanding", "Committee-Meeting", "responsibilities", "negotiation", "consideration", "process.env.SECRET_KEY", "getAccessToken", "settings.database.password", "INTERNATIONAL", "knowledge-management-and-public-education", "from-the-old-house", "required_for_authentication")
+    assert lost(calm) == list(calm)
+
+
 # 10
 
 
