@@ -1,7 +1,8 @@
 """Secret scans by dictionary-primed zstandard novelty.
 
-A candidate is a long run of token characters in a sensitive context: assigned to a name such as ``password`` or
-``api_key``, after ``Bearer``, or with the prefix of an issuer of keys.  What it adds to its surroundings is measured:
+A candidate is a long run of token characters in a sensitive context: assigned to a name such as ``password``,
+``api_key`` or ``accessToken``, after ``Bearer``, as the password in a URL, or with the prefix of an issuer of keys; or
+the body of a PEM block of a private key.  What it adds to its surroundings is measured:
 zstandard is primed with a dictionary of common identifiers and the text around the candidate (without the candidate
 itself), and the bytes that compressing the candidate then takes are its marginal bytes.
 In a value of letters only, a word that the tokenizer's vocabulary has takes two bytes at most.  Words, identifiers, paths and placeholders are cheap after such a dictionary; a random string costs all that its alphabet holds.
@@ -41,10 +42,17 @@ NOVELTY = 0.85
 AROUND = 1024
 REDACTED = "[REDACTED]"
 
-#: A sensitive name and its sign of assignment, or an authorisation scheme.
+#: A sensitive name, wherever it stands in an identifier, and its sign of assignment, or an authorisation scheme.  What
+#: follows the name in its identifier begins with a capital, a digit or a separator (secretKey, but not secretary).
 ASSIGNED = re.compile(
-    r"""(?i)(?<![a-z])(?:[a-z0-9]+[_\-.])*(?:password|passwd|passphrase|pwd|secret|token|api[_\-]?key|access[_\-]?key|private[_\-]?key|auth[_\-]?key|client[_\-]?secret|credentials?|signing[_\-]?key|encryption[_\-]?key)(?:[_\-.][a-z0-9]+)*["']?\s*(?:=>|:=|==?|:)\s*["']?|(?<![a-z])(?:bearer|basic)\s+"""
+    r"""(?i)(?:password|passwd|passphrase|pwd|secret|token|api[_\-]?key|access[_\-]?key|private[_\-]?key|auth[_\-]?key|client[_\-]?secret|credential|signing[_\-]?key|encryption[_\-]?key|(?<![a-z])pass|(?-i:(?<=[a-z0-9])Pass))(?:key|value|id|hash|string)?s?(?:(?-i:[A-Z0-9_\-.])[a-z0-9_\-.]{0,256}+)?["']?\s*(?:=>|:=|==?|:)\s*["']?|(?<![a-z])(?:bearer|basic)\s+"""
 )
+#: The password in a URL's user information.
+IN_URL = re.compile(r"""://[^\s/:@"'<>]{0,256}:([^\s/@"'<>]{8,})@""")
+#: Where a PEM block begins and ends, and what a block without an end holds at least.
+PEM = re.compile(r"-----(?:BEGIN ((?:[A-Z0-9]+ ){0,4}PRIVATE KEY(?: BLOCK)?)|BEGIN [A-Z0-9 ]{1,40}|END [A-Z0-9 ]{1,40})-----")
+BASE64_LINES = re.compile(r"(?:[A-Za-z0-9+/=]|\\[rn]|\s)+")
+ENCODED = re.compile(r"[A-Za-z0-9+/=]{16,}")
 #: What may follow: a run of token characters.
 VALUE = re.compile(r"[A-Za-z0-9+/_\-.~!@#$%^&*]{8,}=*")
 #: Values of letters in runs; plain words ("the secret: understanding") are cheap by a dictionary of words.
@@ -54,7 +62,7 @@ RUN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 ISSUED = re.compile(
     r"(?<![A-Za-z0-9])(?:(?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{30,}|github_pat_[A-Za-z0-9_]{30,}|glpat-[A-Za-z0-9_\-]{20,}|xox[abprs]-[A-Za-z0-9\-]{16,}|[sr]k_(?:live|test)_[A-Za-z0-9]{16,}|AIza[A-Za-z0-9_\-]{30,}|eyJ[A-Za-z0-9_\-]{16,}\.[A-Za-z0-9_\-]{16,}(?:\.[A-Za-z0-9_\-]+)?)"
 )
-HINT = re.compile(r"(?i)pass|pwd|secret|token|key|credential|bearer|basic|AKIA|ASIA|gh[pousr]_|github_pat|glpat|xox|[sr]k_|AIza|eyJ")
+HINT = re.compile(r"(?i)pass|pwd|secret|token|key|credential|bearer|basic|AKIA|ASIA|gh[pousr]_|github_pat|glpat|xox|[sr]k_|AIza|eyJ|://")
 
 #: Identifiers and words that code and configuration are full of, and the usual placeholders.
 IDENTIFIERS = " ".join(
@@ -167,6 +175,22 @@ class Novelty:
         return min(1.0, self.marginal(data, primed) / (len(data) * self.of_random(value, len(data))))
 
 
+def pem_bodies(text: str) -> list[tuple[int, int]]:
+    """(start, end) of what stands in blocks of private keys; a block that is cut off goes as far as its base64 lines."""
+    marks, out = list(PEM.finditer(text)), []
+    for m, following in zip(marks, [*marks[1:], None]):
+        if m[1]:
+            lo, hi = m.end(), following.start() if following else len(text)
+            if not following or not following[0].startswith("-----END"):
+                run = BASE64_LINES.match(text, lo, hi)
+                hi = run.end() if run else lo
+            body = text[lo:hi]
+            if ENCODED.search(body):
+                lo += len(body) - len(body.lstrip())
+                out.append((lo, lo + len(body.strip())))
+    return out
+
+
 def candidates(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) of every candidate, in order, without overlaps."""
     found = []
@@ -175,6 +199,8 @@ def candidates(text: str) -> list[tuple[int, int, str]]:
             end = v.end() - (len(v[0]) - len(v[0].rstrip(".!*")))  # closing marks belong to the sentence
             if end - v.start() >= 8:
                 found.append((v.start(), end, "assigned"))
+    found += [(*m.span(1), "url") for m in IN_URL.finditer(text)]
+    found += [(lo, hi, "pem") for lo, hi in pem_bodies(text)]
     found += [(m.start(), m.end(), "issued") for m in ISSUED.finditer(text)]
     out, last = [], 0
     for lo, hi, kind in sorted(found, key=lambda x: (x[0], -x[1], x[2])):

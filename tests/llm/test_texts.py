@@ -5,6 +5,7 @@ import json
 import random
 import re
 import string
+import time
 
 import numpy as np
 import pytest
@@ -215,6 +216,32 @@ def test_random_letters_are_secrets_and_words_are_none():
     assert lost(calm) == list(calm)
 
 
+NAMES = ("accessToken", "authToken", "refreshToken", "dbPassword", "userPassword", "secretKey", "db_pass", "pass", "dbPass", "MYSQL_ROOT_PASSWORD", "apiKeys", "tokenValue", "clientSecretV2", "appsecret", "password", "x.y-token_2")
+
+
+def test_names_urls_and_pem_blocks_are_contexts():
+    novelty = secrets.Novelty()
+    found = lambda t: [(t[lo:hi], kind) for lo, hi, kind, _ in secrets.findings(t, novelty)]
+    key = "q7Zt0Xw3LpV9sKd2Rb6Yf1Hn"
+    for name in NAMES:
+        assert found(f"const {name} = '{key}';") == [(key, "assigned")] and found(f'{{"{name}": "{key}"}}') == [(key, "assigned")], name
+    assert found(f"postgres://admin:{key}@db.example.org:5432/main") == [(key, "url")]
+    body = "\n".join(re.findall(".{1,64}", base64.b64encode(random.Random(1).randbytes(1190)).decode()))
+    for kind in ("RSA PRIVATE KEY", "PRIVATE KEY", "ENCRYPTED PRIVATE KEY", "OPENSSH PRIVATE KEY", "PGP PRIVATE KEY BLOCK"):
+        assert found(f"x\n-----BEGIN {kind}-----\n{body}\n-----END {kind}-----\ny") == [(body, "pem")]
+    assert found(f"-----BEGIN PRIVATE KEY-----\n{body}") == [(body, "pem")] and found(f"-----BEGIN PUBLIC KEY-----\n{body}\n-----END PUBLIC KEY-----") == []
+    assert found('"-----BEGIN EC PRIVATE KEY-----\\n' + body.replace("\n", "\\n") + '\\n-----END EC PRIVATE KEY-----"') != []
+    for calm in (f"secretary: {key}", f"tokenizer = {key}", f"compass: {key}", f"https://example.org/a:{key}", "http://user:password@localhost/", "-----BEGIN PRIVATE KEY-----\n(insert the key here)\n-----END PRIVATE KEY-----"):
+        assert found(calm) == [], calm
+
+
+def test_contexts_are_found_in_linear_time():
+    for t in ("token" * 100_000, "Pass-Token_" * 50_000, "://a:" * 100_000, "-----BEGIN PRIVATE KEY-----" * 20_000, "eyJ" * 100_000, "a" * 500_000):
+        began = time.process_time()
+        secrets.candidates(t)
+        assert time.process_time() - began < 20
+
+
 # 10
 
 
