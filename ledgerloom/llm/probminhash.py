@@ -19,7 +19,7 @@ Defined results
 * texts of fewer words than a shingle: the words themselves are the one shingle;
 * very long texts: all shingles count;
 * ties: of equal candidates the smallest doc_id stays;
-* rows that repeat a doc_id: the id is one document, all its rows share its fate;
+* rows that repeat a doc_id: the id is one document, each of its texts is compared and all its rows share its fate;
 * null doc_id: kept, never compared;
 * extra columns: not read; :func:`near_dedup` returns its input's columns, whatever their names.
 """
@@ -216,19 +216,19 @@ def components(edges: DataFrame) -> DataFrame:
 def duplicate_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", registers: int = REGISTERS, rows: int = ROWS, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, group_id) of every document in a group of two or more; group_id is the smallest id of the group."""
     shared_folder(df.sparkSession)
-    signed = document_signatures(df, id_col, text_col, registers).groupBy("doc_id").agg(F.min("signature").alias("signature"))
+    signed = document_signatures(df, id_col, text_col, registers).distinct()
     # one row for each signature: exact copies leave here, with a link to the smallest of them
     signed = signed.withColumn("sign_hash", F.xxhash64("signature"))
     copies = signed.groupBy("sign_hash", "signature").agg(F.min("doc_id").alias("doc_id"), F.collect_list("doc_id").alias("ids")).checkpoint()
     exact = copies.where(F.size("ids") > 1).select(F.explode("ids").alias("a"), F.col("doc_id").alias("b"))
     width, bands = 4 * rows, registers // rows
     band = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.expr(f"substring(signature, {k * width + 1}, {width})").alias("v")) for k in range(bands)]))
-    keys = copies.select("doc_id", band.alias("band")).select("doc_id", F.xxhash64("band.k", "band.v").alias("bucket"))
-    # only buckets that two documents share need signatures
-    shared = keys.groupBy("bucket").agg(F.count("*").alias("n"), F.collect_list("doc_id").alias("ids")).where("n > 1")
+    keys = copies.select("sign_hash", band.alias("band")).select("sign_hash", F.xxhash64("band.k", "band.v").alias("bucket"))
+    # only buckets that two signatures share are compared; an id may have several signatures, so these are what is joined
+    shared = keys.groupBy("bucket").agg(F.count("*").alias("n"), F.collect_list("sign_hash").alias("ids")).where("n > 1")
     # buckets with the same members say the same: each set of members is compared once
     sets = shared.select(F.array_sort("ids").alias("ids")).distinct().withColumn("bucket", F.xxhash64("ids"))
-    members = sets.select("bucket", F.explode("ids").alias("doc_id"))
+    members = sets.select("bucket", F.explode("ids").alias("sign_hash"))
 
     def compare(key: tuple, t: pa.Table) -> pa.Table:
         ids = t.column("doc_id").to_numpy()
@@ -237,7 +237,7 @@ def duplicate_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         a, b = links(ids[order], signs[order], threshold)
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    near = members.join(copies.select("doc_id", "signature"), "doc_id").groupBy("bucket").applyInArrow(compare, "a bigint, b bigint")
+    near = members.join(copies.select("sign_hash", "doc_id", "signature"), "sign_hash").drop("sign_hash").groupBy("bucket").applyInArrow(compare, "a bigint, b bigint")
     return components(exact.union(near))
 
 

@@ -256,6 +256,13 @@ def test_edited_copies_meet_through_an_original_of_a_middle_id(spark):
     assert {i: got.get(i, i) for i in ids} == want and sum(g == 40 for g in got.values()) > 110
 
 
+def test_every_text_of_a_repeated_id_is_compared(spark):
+    texts = [" ".join(f"{name}{k}" for k in range(60)) for name in "abcd"]
+    rows = [(1, texts[0]), (5, texts[0]), (5, texts[1]), (5, texts[2]), (5, texts[2]), (7, texts[1] + " more"), (8, texts[2]), (9, texts[3]), (9, texts[3] + " more")]
+    got = {r.doc_id: r.group_id for r in pmh.duplicate_groups(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == {1: 1, 5: 1, 7: 1, 8: 1}
+
+
 # 9
 
 
