@@ -1,27 +1,31 @@
-"""Small helpers shared by the training-data operators."""
+"""Small helpers shared by the training-data operators.
+
+Ids are 64-bit integers, as doc_id, page_id and vec_id are; a column of another type is cast where every value fits and is
+an error where one doesn't.
+"""
 
 from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: Arrow batches of long texts are bounded by bytes, not only by rows.
 BATCH_BYTES = 16 << 20
+BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def bound_batches(spark: SparkSession) -> None:
-    """Bound the Arrow batches sent to Python by bytes as well as by rows.
+    """Bound the Arrow batches sent to Python by bytes as well as by rows, unless the session has a bound of its own.
 
     A batch of 10,000 rows is harmless for short rows and several GB for book-length ones.
     """
-    try:
-        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-    except Exception:  # a Spark without the setting keeps its row bound, made smaller
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    if spark.conf.get(BATCH_SETTING, None) is None:
+        spark.conf.set(BATCH_SETTING, str(BATCH_BYTES))
 
 
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
@@ -30,18 +34,58 @@ def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[p
     return df.mapInArrow(fn, schema)
 
 
-def texts_of(column: pa.Array | pa.ChunkedArray) -> list[str | None]:
-    """Python strings of an Arrow column of any string type; nulls stay None."""
-    return column.to_pylist()
-
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share, made usable for ``checkpoint()``: the one named in spark.checkpoint.dir.
 
-def shared_folder(spark: SparkSession) -> None:
-    """Make ``checkpoint()`` usable: the cluster's shared folder, or a local one where none is set (tests)."""
+    Where none is named, a local master gets a temporary one (tests); a cluster gets an error, as a folder of one machine
+    would lose what the others wrote.
+    """
     sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isDefined():
-        return
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    sc.setCheckpointDir(named or "file://" + os.path.join(tempfile.gettempdir(), "ledgerloom-checkpoints"))
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and (not sc.master.startswith("local") or sc.master.startswith("local-cluster")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(named or "file://" + os.path.join(tempfile.gettempdir(), "ledgerloom-checkpoints"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df, computed once into the shared folder as Parquet and read again, so that columns nobody asks for stay there.
+
+    The folder lies below this application's checkpoints and is removed with them.
+    """
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared file system that nothing reads any more."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def one_text_each(rows: DataFrame, ids: list[int], id_col: str, text_col: str, budget: int) -> dict[int, str]:
+    """{id: text} for a bounded list of ids, in its order, of at most `budget` characters together.
+
+    One text counts for each id: of several the one with the least hash, and of equal hashes the least text, so that the
+    choice doesn't hang on the order of rows.  Rows are read once; repeated ids meet in an aggregation, and what reaches
+    the driver is bounded in rows and in characters.  A text that no longer fits is left out whole.
+    """
+    if not ids:
+        return {}
+    spark = rows.sparkSession
+    wanted = F.broadcast(spark.createDataFrame([(i,) for i in ids], "i bigint"))  # as long as the list
+    of_ids = rows.select(F.col(id_col).cast("bigint").alias("i"), F.col(text_col).alias("t")).where("t is not null").join(wanted, "i")
+    each = written(of_ids.groupBy("i").agg(F.min(F.struct(F.xxhash64("t"), "t")).alias("m")).select("i", "m.t", F.length("m.t").alias("n")), "training")
+    sizes, keep = {r.i: r.n for r in each.select("i", "n").collect()}, []
+    for i in ids:
+        if i in sizes and sizes[i] <= budget:
+            keep.append(i)
+            budget -= sizes[i]
+    fits = F.broadcast(spark.createDataFrame([(i,) for i in keep], "i bigint"))
+    text = {r.i: r.t for r in each.join(fits, "i").select("i", "t").collect()}
+    return {i: text[i] for i in keep}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -75,7 +75,7 @@ def op7_secret_novelty(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_kdtree_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ten nearest other vectors of every vector."""
+    """The ten nearest of all other vectors, of every vector whose id is divisible by 100."""
     from ledgerloom.llm.kdtree_topk import top_k
 
     return top_k(table(spark, sf_dir, "embeddings"))

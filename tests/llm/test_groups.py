@@ -95,23 +95,48 @@ def brute_top(points, k):
     return out
 
 
-@pytest.mark.parametrize("shard_rows, leaf_rows", [(20, 4), (1000, 8)])
-def test_top_k_over_several_shards_with_ties(spark, shard_rows, leaf_rows):
+@pytest.mark.parametrize("every, how", [(1, {"shard_rows": 20, "leaf_rows": 4}), (1, {"shard_rows": 1000, "leaf_rows": 8}), (3, {"shard_rows": 8, "leaf_rows": 2, "sample_rows": 40, "cells": 3, "near": 1})])
+def test_top_k_over_several_shards_with_ties(spark, every, how):
     r = np.random.default_rng(4)
-    points = {k: r.integers(0, 4, 3).astype(float).tolist() for k in range(150)}
+    points = {k: r.integers(0, 4, 3).astype(float).tolist() for k in range(150)} | {k: [1.0, 2.0, 3.0] for k in range(150, 210)}
     df = spark.createDataFrame(list(points.items()), "vec_id bigint, embedding array<double>")
-    got = {(x.query_id, x.rank): x.neighbour_id for x in kd.top_k(df, 4, shard_rows=shard_rows, leaf_rows=leaf_rows).collect()}
-    assert got == brute_top(points, 4)
+    got = {(x.query_id, x.rank): x.neighbour_id for x in kd.top_k(df, 4, every=every, **how).collect()}
+    assert got == {q: i for q, i in brute_top(points, 4).items() if q[0] % every == 0}
+
+
+def test_tree_search_is_exact_and_opens_few_leaves():
+    r = np.random.default_rng(5)
+    x = np.concatenate([r.normal(c, 0.1, (300, 8)) for c in range(10)])
+    ids = r.permutation(len(x)).astype(np.int64)
+    tree, opened = kd.Tree.of_bytes(kd.Tree.build(ids, x, 32).to_bytes()), []
+    compare = tree._compare
+    tree._compare = lambda leaf, rows, *a: (opened.append(len(rows)), compare(leaf, rows, *a))
+    q = x[::50]
+    row, near, d2 = tree.search(ids[::50], q, 5, np.full(len(q), np.inf))
+    for k in range(len(q)):
+        d = ((x - q[k]) ** 2).sum(1)
+        want = sorted((d[j], ids[j]) for j in range(len(x)) if ids[j] != ids[50 * k])[:5]
+        assert near[row == k].tolist() == [i for _, i in want] and np.allclose(d2[row == k], [a for a, _ in want])
+    assert sum(opened) < 0.2 * len(q) * (tree.left[:, 0] < 0).sum()
+    assert tree.search(ids[:3], x[:3], 5, np.zeros(3))[0].size == 0
+
+
+def test_splits_place_every_row_into_a_cell_of_about_equal_size():
+    r = np.random.default_rng(6)
+    x = r.normal(size=(5000, 4))
+    cell = kd.place(x, kd.fit_splits(x, 13))
+    assert set(cell) == set(range(13)) and np.bincount(cell).max() <= 2 * 5000 / 8
+    assert len(kd.fit_splits(np.ones((50, 2)), 8)) == 0
 
 
 def test_awkward_vectors(spark):
     rows = [(1, [0.0, 0.0]), (2, [0.0, 0.0]), (2, [5.0, 5.0]), (3, None), (4, [float("nan"), 1.0]), (5, [1.0]), (None, [1.0, 1.0]), (6, [None, 1.0]), (7, [3.0, 4.0]), (8, []), (9, [float("inf"), 0.0])]
     df = spark.createDataFrame([(i, v, 1, 2, "x") for i, v in rows], "vec_id bigint, embedding array<double>, shard int, copy int, distance string")
-    got = {(r.query_id, r.rank): (r.neighbour_id, r.distance) for r in kd.top_k(df, 3).collect()}
+    got = {(r.query_id, r.rank): (r.neighbour_id, r.distance) for r in kd.top_k(df, 3, every=1).collect()}
     assert got == {(1, 1): (2, 0.0), (1, 2): (7, 5.0), (2, 1): (1, 0.0), (2, 2): (7, 5.0), (7, 1): (1, 5.0), (7, 2): (2, 5.0)}
     assert kd.top_k(df.limit(0)).count() == 0
     alike = spark.createDataFrame([(k, [1.0, 1.0]) for k in range(40)], "vec_id bigint, embedding array<double>")
-    assert kd.top_k(alike, 2, shard_rows=5, leaf_rows=2).count() == 80
+    assert kd.top_k(alike, 2, every=1, shard_rows=5, leaf_rows=2).count() == 80
 
 
 # 6
