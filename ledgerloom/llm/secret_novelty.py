@@ -5,7 +5,8 @@ A candidate is a long run of token characters in a sensitive context: assigned t
 the body of a PEM block of a private key.  What it adds to its surroundings is measured:
 zstandard is primed with a dictionary of common identifiers and the text around the candidate (without the candidate
 itself), and the bytes that compressing the candidate then takes are its marginal bytes.
-In a value of letters only, a word that the tokenizer's vocabulary has takes two bytes at most.  Words, identifiers, paths and placeholders are cheap after such a dictionary; a random string costs all that its alphabet holds.
+A word that the tokenizer's vocabulary has takes two bytes at most, wherever it stands in the value.  Words, identifiers,
+paths and placeholders are cheap after such a dictionary; a random string costs all that its alphabet holds.
 The candidate is measured behind a carrier of known words, so that even a short one pays for its own bytes only and not
 for the frame of a compressed block.  Candidates whose novelty (marginal bytes over the bytes that a random string of
 their alphabet and length takes, as measured: long ones take less, and hexadecimal digits never more than half of their
@@ -17,6 +18,9 @@ Defined results
 * very long texts: scanned whole; only the surroundings of a candidate are bounded;
 * null ids, repeated rows: every row is scanned and reported on its own;  ties: findings are in the order of the text;
 * overlapping candidates: the one that starts first (the longer of two that start together);
+* dates, times, UUIDs and the names of functions that are called are identifiers, not candidates; so are values of fewer
+  than eight characters;
+* long runs of any kind are read in linear time;  empty table: no findings;
 * extra columns: not read; :func:`redact_secrets` returns its input's columns, with the text (and n_chars, if there is
   one) changed only where something was found.
 """
@@ -45,7 +49,7 @@ REDACTED = "[REDACTED]"
 #: A sensitive name, wherever it stands in an identifier, and its sign of assignment, or an authorisation scheme.  What
 #: follows the name in its identifier begins with a capital, a digit or a separator (secretKey, but not secretary).
 ASSIGNED = re.compile(
-    r"""(?i)(?:password|passwd|passphrase|pwd|secret|token|api[_\-]?key|access[_\-]?key|private[_\-]?key|auth[_\-]?key|client[_\-]?secret|credential|signing[_\-]?key|encryption[_\-]?key|(?<![a-z])pass|(?-i:(?<=[a-z0-9])Pass))(?:key|value|id|hash|string)?s?(?:(?-i:[A-Z0-9_\-.])[a-z0-9_\-.]{0,256}+)?["']?\s*(?:=>|:=|==?|:)\s*["']?|(?<![a-z])(?:bearer|basic)\s+"""
+    r"""(?i)(?:password|passwd|passphrase|pwd|secret|token|api[_\-]?key|access[_\-]?key|private[_\-]?key|auth[_\-]?key|client[_\-]?secret|credential|signing[_\-]?key|encryption[_\-]?key|(?<![a-z])pass|(?-i:(?<=[a-z0-9])Pass))(?:key|value|id|hash|string)?s?(?:(?-i:[A-Z0-9_\-.])[a-z0-9_\-.]{0,256}+)?["'`]?\s*(?:=>|:=|==?|:)\s*["'`]?|(?<![a-z])(?:bearer|basic)\s+"""
 )
 #: The password in a URL's user information.
 IN_URL = re.compile(r"""://[^\s/:@"'<>]{0,256}:([^\s/@"'<>]{8,})@""")
@@ -53,15 +57,18 @@ IN_URL = re.compile(r"""://[^\s/:@"'<>]{0,256}:([^\s/@"'<>]{8,})@""")
 PEM = re.compile(r"-----(?:BEGIN ((?:[A-Z0-9]+ ){0,4}PRIVATE KEY(?: BLOCK)?)|BEGIN [A-Z0-9 ]{1,40}|END [A-Z0-9 ]{1,40})-----")
 BASE64_LINES = re.compile(r"(?:[A-Za-z0-9+/=]|\\[rn]|\s)+")
 ENCODED = re.compile(r"[A-Za-z0-9+/=]{16,}")
-#: What may follow: a run of token characters.
-VALUE = re.compile(r"[A-Za-z0-9+/_\-.~!@#$%^&*]{8,}=*")
+#: What may follow: a run of token characters, or after a quotation mark all up to the next one.
+VALUE = re.compile(r"[A-Za-z0-9+/_\-.~!@#$%^&*]{8,}+=*+")
+QUOTED = re.compile(r"""[^\s"'`]{8,}+(?=["'`])""")
+#: Values that name a time or a thing.
+PLAIN = re.compile(r"(?i)\d{2,4}[-/.]\d{1,2}[-/.]\d{1,4}(?:[T_]\d{1,2}[\d:.+\-]*Z?)?|[0-9a-f]{8}-(?:[0-9a-f]{4}-){3}[0-9a-f]{12}|v?\d+(?:\.\d+)+(?:[-+.][a-z0-9]{1,8})?")
 #: Values of letters in runs; plain words ("the secret: understanding") are cheap by a dictionary of words.
 LETTERS = re.compile(r"[A-Za-z]+(?:[-_./]+[A-Za-z]+)*")
-RUN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+RUN = re.compile(r"([A-Z]?[a-z]+|[A-Z]+)")
 #: Issuers' prefixes stand for a context of their own.
 ISSUED = re.compile(
-    r"(?<![A-Za-z0-9])(?:(?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{30,}|github_pat_[A-Za-z0-9_]{30,}|glpat-[A-Za-z0-9_\-]{20,}|xox[abprs]-[A-Za-z0-9\-]{16,}|[sr]k_(?:live|test)_[A-Za-z0-9]{16,}|AIza[A-Za-z0-9_\-]{30,}|eyJ[A-Za-z0-9_\-]{16,}\.[A-Za-z0-9_\-]{16,}(?:\.[A-Za-z0-9_\-]+)?)"
-)
+    r"(?<![A-Za-z0-9])(?:(?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{30,}|github_pat_[A-Za-z0-9_]{30,}|glpat-[A-Za-z0-9_\-]{20,}|xox[abprs]-[A-Za-z0-9\-]{16,}|[sr]k_(?:live|test)_[A-Za-z0-9]{16,}|AIza[A-Za-z0-9_\-]{30,}|(?<![_\-])eyJ[A-Za-z0-9_\-]{16,}+\.[A-Za-z0-9_\-]{16,}+(?:\.[A-Za-z0-9_\-]+)?)"
+)  # a web token starts where its run of characters does, so that each run is read once
 HINT = re.compile(r"(?i)pass|pwd|secret|token|key|credential|bearer|basic|AKIA|ASIA|gh[pousr]_|github_pat|glpat|xox|[sr]k_|AIza|eyJ|://")
 
 #: Identifiers and words that code and configuration are full of, and the usual placeholders.
@@ -79,13 +86,16 @@ IDENTIFIERS = " ".join(
 ).encode()
 
 
-#: What a candidate follows when it is measured; a single match with the dictionary.
-CARRIER = IDENTIFIERS[-200:] + b" "
+#: What a candidate follows and what follows it when it is measured, each a single match with the dictionary.  The last
+#: bytes of a block are never matched, so a candidate must not be there.
+CARRIER, BEHIND = IDENTIFIERS[-200:] + b" ", b" " + IDENTIFIERS[:64]
 HEXADECIMAL = re.compile(r"(?=.*[0-9])(?=.*[A-Fa-f])[0-9A-Fa-f]+")
 
 
-#: Longest word that is looked for inside a run of letters.
-INSIDE = 24
+#: Longest word that is looked for inside a run of letters, and the shortest whole run among other characters.
+INSIDE, AMONG = 24, 4
+#: Random strings are sampled up to this length; from there on their rate doesn't change.
+SAMPLED = 1 << 15
 #: A signed web token; its last part is the signature.
 SIGNED = re.compile(r"eyJ[A-Za-z0-9_\-]+\.[A-Za-z0-9_\-]+\.([A-Za-z0-9_\-]{16,})")
 
@@ -119,7 +129,7 @@ class Novelty:
 
     def marginal(self, data: bytes, primed: bytes) -> int:
         compress = zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(primed, dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=self.params).compress
-        return max(0, len(compress(CARRIER + data)) - len(compress(CARRIER)))
+        return max(0, len(compress(CARRIER + data + BEHIND)) - len(compress(CARRIER + BEHIND)))
 
     def of_random(self, value: str, size: int) -> float:
         """Bytes for each byte that a random string of the value's alphabet takes.
@@ -127,7 +137,7 @@ class Novelty:
         Literals of long strings are Huffman-coded, so it falls with the length.  The least of some strings of twice the
         length up to the next power of two is taken: no random value comes much below.
         """
-        key = alphabet(value), 2 << max(3, (size - 1).bit_length())
+        key = alphabet(value), min(SAMPLED, 2 << max(3, (size - 1).bit_length()))
         if key not in self.random:
             if len(self.random) >= 4096:
                 self.random.clear()
@@ -146,33 +156,43 @@ class Novelty:
         value, reach = text[lo:hi], AROUND + hi - lo
         around = text[max(0, lo - reach) : lo].replace(value, " ")[-AROUND:] + " " + text[hi : hi + reach].replace(value, " ")[:AROUND]
         primed = IDENTIFIERS + b" " + around.encode("utf-8", "surrogatepass")
-        if LETTERS.fullmatch(value):
-            least = min(self.marginal(value.encode(), primed), self.marginal(self.shortened(value), primed))
-            return min(1.0, least / (len(value) * self.of_random(value, len(value))))
         signed = SIGNED.fullmatch(value)
         return max(self.share(x, primed) for x in ((value, signed[1]) if signed else (value,)))
 
+    def share(self, value: str, primed: bytes) -> float:
+        """Marginal bytes over those of a random string, with the value as it stands and with its words shortened."""
+        data = value.encode("utf-8", "surrogatepass")
+        whole = len(data) * self.of_random(value, len(data))
+        least = self.marginal(data, primed)
+        if least >= NOVELTY * whole:
+            least = min(least, self.marginal(self.shortened(value), primed))
+        return min(1.0, least / whole)
+
     def shortened(self, value: str) -> bytes:
-        """A value of letters with two bytes, a place in a dictionary, for each word in it and a separator after it.
+        """The value with two bytes, a place in a dictionary, for each word in it and a separator after it.
 
-        Whole runs count, and inside a run words of five letters and more, which random letters hardly contain.
+        Whole runs of letters count (among other characters those of four letters and more), and inside a run words of
+        five letters and more, which random letters hardly contain.
         """
         words = known_words(self.path)
+        shortest = 1 if LETTERS.fullmatch(value) else AMONG
+
+        def of_word(word: str) -> bytes:
+            return bytes(128 | x for x in zlib.crc32(word.encode()).to_bytes(4)[:2])
 
         def of_run(run: str) -> bytes:
-            low, out, at = run.lower(), b"", 0
+            low, out, at = run.lower(), bytearray(), 0
+            if len(low) >= shortest and low in words:
+                return of_word(low)
             while at < len(low):
-                size = len(low) if not at and low in words else next((n for n in range(min(INSIDE, len(low) - at), 4, -1) if low[at : at + n] in words), 0)
-                out += bytes(128 | x for x in zlib.crc32(low[at : at + size].encode()).to_bytes(4)[:2]) if size else run[at].encode()
+                size = next((n for n in range(min(INSIDE, len(low) - at), 4, -1) if low[at : at + n] in words), 0)
+                out += of_word(low[at : at + size]) if size else run[at].encode()
                 at += size or 1
-            return out
-
-        out = b"".join(of_run(x) if x.isalpha() else x.encode() for x in re.findall(rf"{RUN.pattern}|.", value))
-        return re.sub(rb"([\x80-\xff])[-_./]", rb"\1", out)
+            return bytes(out)
 
-    def share(self, value: str, primed: bytes) -> float:
-        data = value.encode("utf-8", "surrogatepass")
-        return min(1.0, self.marginal(data, primed) / (len(data) * self.of_random(value, len(data))))
+        parts = RUN.split(value)  # what is between runs, and the runs, in turn
+        out = b"".join(of_run(x) if k % 2 else x.encode("utf-8", "surrogatepass") for k, x in enumerate(parts))
+        return re.sub(rb"([\x80-\xff])[-_./]", rb"\1", out) if shortest == 1 else out
 
 
 def pem_bodies(text: str) -> list[tuple[int, int]]:
@@ -195,10 +215,15 @@ def candidates(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) of every candidate, in order, without overlaps."""
     found = []
     for m in ASSIGNED.finditer(text):
-        if v := VALUE.match(text, m.end()):
-            end = v.end() - (len(v[0]) - len(v[0].rstrip(".!*")))  # closing marks belong to the sentence
-            if end - v.start() >= 8:
-                found.append((v.start(), end, "assigned"))
+        at = m.end()
+        v = (text[at - 1] in "\"'`" and QUOTED.match(text, at)) or VALUE.match(text, at)
+        if not v or text.startswith("(", v.end()):  # the name of a function that is called
+            continue
+        end = v.end() - (len(v[0]) - len(v[0].rstrip(".!*")))  # closing marks belong to the sentence
+        if end - at < 8:
+            end = v.end()
+        if not PLAIN.fullmatch(text, at, end):
+            found.append((at, end, "assigned"))
     found += [(*m.span(1), "url") for m in IN_URL.finditer(text)]
     found += [(lo, hi, "pem") for lo, hi in pem_bodies(text)]
     found += [(m.start(), m.end(), "issued") for m in ISSUED.finditer(text)]
