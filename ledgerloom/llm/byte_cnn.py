@@ -7,17 +7,21 @@ responses, and a logistic unit turns these into one probability of good quality.
 As the input of a filter is one byte per tap, embedding and filter fold into a table of 256 rows per tap, and the
 convolution is a sum of table rows.
 
-The network is trained on the driver from a bounded sample of labelled rows (``TRAIN_ROWS``, in the order of a hash of
-doc_id).  Scoring is one map over all texts, without a shuffle.
+The network is trained on the driver from a bounded sample of labelled rows (``TRAIN_ROWS`` and ``TRAIN_CHARS``, in the
+order of a hash of doc_id).  Scoring is one map over all texts, without a shuffle.
 
 Defined results
 ---------------
 * null, empty or blank text: probability 0, rejected;
 * a text shorter than a filter: padded with zero bytes;  very long texts: all chunks count;
 * null ids, repeated rows, ties: every row is scored on its own;
-* labels: rows with null id or null label are ignored; of repeated ids the lowest label counts;
+* labels: rows with null id or null label are ignored; of repeated ids the lowest label counts, and of different texts
+  under one id the one with the least hash;
 * no labels of both kinds: there is nothing to learn and every text that isn't blank gets probability 1;
-* extra columns: :func:`quality_filter` returns exactly its input's columns, whatever their names.
+* extra columns: :func:`quality_filter` returns exactly its input's columns, whatever their names;
+* empty table: empty result.
+
+:func:`train` runs Spark jobs at once, scoring is lazy.
 """
 
 from __future__ import annotations
@@ -28,12 +32,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ledgerloom.llm.common import map_arrow
+from ledgerloom.llm.common import map_arrow, one_text_each
 
 WIDTH, FILTERS, EMBED = 5, 16, 8
 CHUNK, OVERLAP = 1024, 64
 #: At most this many labelled rows are used for training.
 TRAIN_ROWS = 3000
+#: Characters of their texts together; a text that no longer fits is left out whole.
+TRAIN_CHARS = 32_000_000
 EPOCHS, BATCH, RATE, SEED = 14, 32, 0.01, 11
 #: Few rows are gone over more often, until there were this many batches.
 STEPS = 400
@@ -63,7 +69,7 @@ class ByteCnn:
 
     def tables(self) -> np.ndarray:
         """[tap, byte, filter]: what a byte at a tap adds to each filter."""
-        return np.ascontiguousarray(np.einsum("be,wef->wbf", self.p["embed"], self.p["taps"]), np.float32)
+        return np.ascontiguousarray(np.einsum("be,wef->wbf", self.p["embed"], self.p["taps"]))
 
     @staticmethod
     def response(data: np.ndarray, tables: np.ndarray) -> np.ndarray:
@@ -79,7 +85,7 @@ class ByteCnn:
         if len(data) < WIDTH:
             data = np.concatenate([data, np.zeros(WIDTH - len(data), np.uint8)])
         at = starts(len(data))
-        best = np.empty((len(at), FILTERS), np.float32)
+        best = np.empty((len(at), FILTERS), tables.dtype)
         pos = np.empty((len(at), FILTERS), np.int64)
         for k, s in enumerate(at):  # starts() leaves every chunk at least WIDTH bytes
             r = self.response(data[s : s + CHUNK], tables)
@@ -103,8 +109,33 @@ class ByteCnn:
         z = float(self.features(self.pooled(data, tables)) @ self.p["out"] + self.p["out_bias"][0])
         return 1 / (1 + float(np.exp(-z)))
 
+    def gradient(self, docs: list[np.ndarray], y: np.ndarray, weight: np.ndarray) -> dict[str, np.ndarray]:
+        """Of the mean weighted logistic loss; it reaches a filter only at the positions that gave its largest responses."""
+        tables = self.tables()
+        grad = {k: np.zeros_like(x) for k, x in self.p.items()}
+        table_grad = np.zeros_like(tables)
+        for i in range(len(docs)):
+            best, pos, data = self.pooled(docs[i], tables, where=True)
+            act = np.maximum(best + self.p["bias"], 0)
+            top = act.argmax(0)
+            feats = np.concatenate([act[top, np.arange(FILTERS)], act.mean(0)])
+            z = float(feats @ self.p["out"] + self.p["out_bias"][0])
+            d = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[i]) * weight[i] / len(docs)
+            grad["out"] += d * feats
+            grad["out_bias"] += d
+            g = np.repeat(d * self.p["out"][None, FILTERS:] / len(act), len(act), 0)
+            g[top, np.arange(FILTERS)] += d * self.p["out"][:FILTERS]
+            g *= act > 0
+            grad["bias"] += g.sum(0)
+            f = np.broadcast_to(np.arange(FILTERS), pos.shape)
+            for w in range(WIDTH):
+                np.add.at(table_grad[w], (data[pos + w], f), g)
+        grad["embed"] = np.einsum("wbf,wef->be", table_grad, self.p["taps"])
+        grad["taps"] = np.einsum("be,wbf->wef", self.p["embed"], table_grad)
+        return grad
+
     def fit(self, texts: list[str], labels: list[int]) -> ByteCnn:
-        """Adam on the logistic loss; gradients reach a filter only at the positions that gave its largest responses."""
+        """Adam on the logistic loss."""
         docs = [np.frombuffer(t.encode("utf-8", "surrogatepass"), np.uint8) for t in texts]
         y = np.array(labels, np.float32)
         if not len(y) or y.min() == y.max():
@@ -118,27 +149,7 @@ class ByteCnn:
             order = r.permutation(len(docs))
             for lo in range(0, len(order), BATCH):
                 batch = order[lo : lo + BATCH]
-                tables = self.tables()
-                grad = {k: np.zeros_like(x) for k, x in self.p.items()}
-                table_grad = np.zeros_like(tables)
-                for i in batch:
-                    best, pos, data = self.pooled(docs[i], tables, where=True)
-                    act = np.maximum(best + self.p["bias"], 0)
-                    top = act.argmax(0)
-                    feats = np.concatenate([act[top, np.arange(FILTERS)], act.mean(0)])
-                    z = float(feats @ self.p["out"] + self.p["out_bias"][0])
-                    d = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[i]) * weight[i] / len(batch)
-                    grad["out"] += d * feats
-                    grad["out_bias"] += d
-                    g = np.repeat(d * self.p["out"][None, FILTERS:] / len(act), len(act), 0)
-                    g[top, np.arange(FILTERS)] += d * self.p["out"][:FILTERS]
-                    g *= act > 0
-                    grad["bias"] += g.sum(0)
-                    f = np.broadcast_to(np.arange(FILTERS), pos.shape)
-                    for w in range(WIDTH):
-                        np.add.at(table_grad[w], (data[pos + w], f), g)
-                grad["embed"] = np.einsum("wbf,wef->be", table_grad, self.p["taps"])
-                grad["taps"] = np.einsum("be,wbf->wef", self.p["embed"], table_grad)
+                grad = self.gradient([docs[i] for i in batch], y[batch], weight[batch])
                 step += 1
                 for k in self.p:
                     m[k] += 0.1 * (grad[k] - m[k])
@@ -151,14 +162,10 @@ class ByteCnn:
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, id_col: str = "doc_id", text_col: str = "text") -> ByteCnn:
     """A network fitted to at most `rows` labelled documents, taken in the order of a hash of their id."""
-    known = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where(F.col("text").isNotNull())
-    ids = [r.doc_id for r in chosen.select("doc_id").collect()]  # bounded by rows
-    label = {r.doc_id: r.quality for r in known.where(F.col("doc_id").isin(ids)).collect()} if ids else {}
-    found = {r.doc_id: r.text for r in texts.where(F.col("doc_id").isin(ids)).collect()} if ids else {}
-    use = [i for i in ids if i in found and found[i].strip()]
-    return ByteCnn().fit([found[i] for i in use], [int(label[i] > 0) for i in use])
+    known = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.min("quality").alias("quality"))
+    label = {r.doc_id: r.quality for r in known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).collect()}  # bounded by rows
+    found = {i: t for i, t in one_text_each(docs, list(label), id_col, text_col, TRAIN_CHARS).items() if t.strip()}
+    return ByteCnn().fit(list(found.values()), [int(label[i] > 0) for i in found])
 
 
 def quality_scores(df: DataFrame, model: ByteCnn, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -7,15 +7,19 @@ document as its context; the blocks labelled content make up the text.
 
 The network is fitted here, on the driver, to pages that :func:`synthetic_pages` composes from many layouts (with and
 without semantic tags) together with a bounded number of rows of the table whose own ``article`` or ``main`` element
-says what is content (``TRAIN_ROWS``).  These two tags are taken out of the paths that the network sees, so that it
+says what is content (``TRAIN_ROWS`` and ``TRAIN_CHARS``, in the order of a hash of the id).  These two tags are taken out of the paths that the network sees, so that it
 can't just repeat them.  Labelling is one map over all pages, without a shuffle.
 
 Defined results
 ---------------
 * null html: null text, no labels;  empty html, or one without text: empty text, no labels;
-* broken html (unclosed or stray tags, no body): read as far as it goes, never an error;
+* broken html (unclosed or stray tags, no body): read as far as it goes, in linear time, never an error; a tag that no
+  ">" closes before the next "<" is text;
 * very long pages: all blocks are read; the context is the whole page;
-* null ids, repeated rows: one row out for each row in;  extra columns: not read;  empty table: empty result.
+* null ids, repeated rows: one row out for each row in;  extra columns: not read;  empty table: empty result;
+* pages of one id in training: the one with the least hash.
+
+:func:`train` runs Spark jobs at once, :func:`extract_text` is lazy.
 """
 
 from __future__ import annotations
@@ -23,6 +27,7 @@ from __future__ import annotations
 import html as entities
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,17 +35,22 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from ledgerloom.llm.common import map_arrow
+from ledgerloom.llm.common import map_arrow, one_text_each
 
 TAGS, WORDS, PLAIN = 24, 16, 6
 HIDDEN = 16
 #: At most this many pages of the table are used for training, besides SYNTHETIC composed ones.
 TRAIN_ROWS, SYNTHETIC = 150, 250
+#: Characters of those pages together; a page that no longer fits is left out whole.
+TRAIN_CHARS = 8_000_000
 EPOCHS, BATCH, RATE, SEED = 6, 16, 0.02, 5
 #: Blocks of pages labelled together, bounding memory.
 TOGETHER = 20_000
 
-TOKEN = re.compile(r"<!--.*?(?:-->|$)|<(script|style|noscript|template|svg)\b[^>]*>.*?(?:</\1\s*>|$)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:\-]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>|([^<]+|<)", re.S | re.I)
+#: Outside quotation marks a tag ends before the next "<", so that an open one costs no more than what is up to there.
+TOKEN = re.compile(
+    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg)\b[^<>]*+>.*?(?:</\1\s*>|\Z)|<![^<>]*+>|<\?[^<>]*+>|<(/?)([a-zA-Z][a-zA-Z0-9:\-]*+)((?:\"[^\"]*+\"|'[^']*+'|[^<>\"'])*+)>|([^<]+|<)", re.S | re.I
+)
 CLASS = re.compile(r"""\b(?:class|id|role)\s*=\s*["']?([^"'>]+)""", re.I)
 BLOCKS = frozenset("address article aside blockquote body br caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead title tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -70,39 +80,43 @@ class Buckets(dict):
 _TAG, _WORD = Buckets(TAGS), Buckets(WORDS)
 
 
-def blocks(page: str) -> list[tuple[str, tuple[str, ...], int, bool]]:
+def blocks(page: str) -> list[tuple[str, tuple[int, ...], int, bool]]:
     """(text, path, characters in links, inside article or main) of every leaf block that has text, in order.
 
-    The path holds the names of the open elements and their class, id and role words, without article and main.
+    The path is (its number of words, how many of them fall into each of TAGS buckets); its words are the names of the
+    open elements and their class, id and role words, without article and main.  The counts follow the tags one by one,
+    so that deep nesting costs no more than flat pages.
     """
-    out: list[tuple[str, tuple[str, ...], int, bool]] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
-    path: tuple[str, ...] = ()
+    out: list[tuple[str, tuple[int, ...], int, bool]] = []
+    stack: list[tuple[str, tuple[int, ...]]] = []
+    path = [0] * (TAGS + 1)
     parts: list[str] = []
-    linked = semantic = links = head = 0
+    opened: Counter[str] = Counter()  # names in the stack
+    linked = semantic = head = 0
 
     def close() -> None:
         nonlocal linked
         if parts:
             text = " ".join(entities.unescape("".join(parts)).split())
             if text and not head:
-                out.append((text, path, min(linked, len(text)), semantic > 0))
+                out.append((text, tuple(path), min(linked, len(text)), semantic > 0))
             parts.clear()
         linked = 0
 
-    def leave(name: str) -> None:
-        nonlocal path, semantic, links, head
-        left, words = stack.pop()
+    def gone(left: str, words: tuple[int, ...]) -> None:
+        nonlocal semantic, head
+        opened[left] -= 1
         semantic -= left in SEMANTIC
-        links -= left == "a"
         head -= left in HEAD
-        path = path[: len(path) - len(words)]
+        for w in words:
+            path[w] -= 1
+        path[0] -= len(words)
 
     for m in TOKEN.finditer(page):
         text = m[5]
         if text is not None:
             parts.append(text)
-            if links:
+            if opened["a"]:
                 linked += len(text)
             continue
         name = m[3]
@@ -114,40 +128,43 @@ def blocks(page: str) -> list[tuple[str, tuple[str, ...], int, bool]]:
         if name in BLOCKS:
             close()
         if m[2]:
-            if any(n == name for n, _ in stack):
+            if opened[name]:
                 while stack[-1][0] != name:
-                    leave(name)
-                leave(name)
+                    gone(*stack.pop())
+                gone(*stack.pop())
             continue
         if name in VOID or m[4].endswith("/"):
             continue
         if name in SELF_CLOSING and stack and stack[-1][0] == name:
-            leave(name)
-        if name == "body":
-            head = 0
-            stack[:] = [(n, w) for n, w in stack if n not in HEAD]
-        words = () if name in SEMANTIC else (name, *(w.lower() for c in CLASS.findall(m[4]) for w in re.split(r"[\s_\-]+", c) if w))
+            gone(*stack.pop())
+        if name == "body" and head:
+            for x in stack:
+                if x[0] in HEAD:
+                    gone(*x)
+            stack[:] = [x for x in stack if x[0] not in HEAD]
+        words = () if name in SEMANTIC else tuple(_TAG[w] + 1 for w in (name, *(w.lower() for c in CLASS.findall(m[4]) for w in re.split(r"[\s_\-]+", c) if w)))
         stack.append((name, words))
-        path += words
+        for w in words:
+            path[w] += 1
+        path[0] += len(words)
+        opened[name] += 1
         semantic += name in SEMANTIC
-        links += name == "a"
         head += name in HEAD
     close()
     return out
 
 
-def vectors(found: list[tuple[str, tuple[str, ...], int, bool]]) -> np.ndarray:
+def vectors(found: list[tuple[str, tuple[int, ...], int, bool]]) -> np.ndarray:
     """One row for each block."""
     n = len(found)
     x = np.zeros((n, TAGS + WORDS + PLAIN), np.float32)
     for k, (text, path, linked, _) in enumerate(found):
         row = x[k]
-        for w in path:
-            row[_TAG[w]] += 1.0
+        row[:TAGS] = path[1:]
         words = text.split()
         got = np.bincount([_WORD[w] for w in words], minlength=WORDS)
         row[TAGS : TAGS + WORDS] = got / len(words)
-        row[TAGS + WORDS :] = (np.log1p(len(text)) / 6, linked / len(text), (text.count(".") + text.count(",")) / len(words), (k + 1) / n, len(path) / 10, text[-1] in ".!?:;")
+        row[TAGS + WORDS :] = (np.log1p(len(text)) / 6, linked / len(text), (text.count(".") + text.count(",")) / len(words), (k + 1) / n, path[0] / 10, text[-1] in ".!?:;")
     return x
 
 
@@ -171,8 +188,9 @@ class BiLstm:
     def pass_over(self, x: np.ndarray, mask: np.ndarray, way: str, keep: bool = False):
         """States [time, page, hidden] of one direction; padding leaves a state as it is."""
         steps, n, _ = x.shape
-        h, c = np.zeros((n, HIDDEN), np.float32), np.zeros((n, HIDDEN), np.float32)
-        out, saved = np.zeros((steps, n, HIDDEN), np.float32), []
+        kind = self.p["out"].dtype
+        h, c = np.zeros((n, HIDDEN), kind), np.zeros((n, HIDDEN), kind)
+        out, saved = np.zeros((steps, n, HIDDEN), kind), []
         wx = x @ self.p["x" + way] + self.p["b" + way]
         for t in range(steps) if way == "f" else range(steps - 1, -1, -1):
             z = wx[t] + h @ self.p["h" + way]
@@ -192,6 +210,16 @@ class BiLstm:
         both = np.concatenate([self.pass_over(x, mask, "f"), self.pass_over(x, mask, "b")], 2)
         return sigmoid(both @ self.p["out"] + self.p["out_bias"][0])
 
+    def gradient(self, x: np.ndarray, mask: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
+        """Of the mean logistic loss over the real blocks."""
+        hf, sf = self.pass_over(x, mask, "f", True)
+        hb, sb = self.pass_over(x, mask, "b", True)
+        both = np.concatenate([hf, hb], 2)
+        d = (sigmoid(both @ self.p["out"] + self.p["out_bias"][0]) - y) * mask / mask.sum()
+        grad = {"out": np.einsum("tn,tnh->h", d, both), "out_bias": d.sum(keepdims=True).ravel()}
+        dh = d[:, :, None] * self.p["out"]
+        return grad | self.back(x, sf, dh[:, :, :HIDDEN], "f") | self.back(x, sb, dh[:, :, HIDDEN:], "b")
+
     def fit(self, pages: list[np.ndarray], labels: list[np.ndarray]) -> BiLstm:
         """Back-propagation through whole pages, with Adam."""
         m1 = {k: np.zeros_like(v) for k, v in self.p.items()}
@@ -206,14 +234,7 @@ class BiLstm:
                 y = np.zeros(mask.shape, np.float32)
                 for j, k in enumerate(groups[gi]):
                     y[: len(labels[k]), j] = labels[k]
-                hf, sf = self.pass_over(x, mask, "f", True)
-                hb, sb = self.pass_over(x, mask, "b", True)
-                both = np.concatenate([hf, hb], 2)
-                d = (sigmoid(both @ self.p["out"] + self.p["out_bias"][0]) - y) * mask / mask.sum()
-                grad = {"out": np.einsum("tn,tnh->h", d, both), "out_bias": d.sum(keepdims=True).ravel()}
-                dh = d[:, :, None] * self.p["out"]
-                for way, saved, part in (("f", sf, dh[:, :, :HIDDEN]), ("b", sb, dh[:, :, HIDDEN:])):
-                    grad |= self.back(x, saved, part, way)
+                grad = self.gradient(x, mask, y)
                 step += 1
                 rate = RATE * (1 - 0.8 * epoch / EPOCHS)
                 for k, g in grad.items():
@@ -228,7 +249,7 @@ class BiLstm:
         n = x.shape[1]
         gx, gh = np.zeros_like(self.p["x" + way]), np.zeros_like(self.p["h" + way])
         gb = np.zeros_like(self.p["b" + way])
-        h_next, c_next = np.zeros((n, HIDDEN), np.float32), np.zeros((n, HIDDEN), np.float32)
+        h_next, c_next = np.zeros((n, HIDDEN), part.dtype), np.zeros((n, HIDDEN), part.dtype)
         for t, h, c, i, f, o, g, th, m in reversed(saved):
             dh = part[t] + h_next
             do = dh * m
@@ -297,9 +318,8 @@ def train(pages: DataFrame | None = None, rows: int = TRAIN_ROWS, id_col: str =
     """The labeller, fitted to composed pages and to at most `rows` pages of the table, in the order of a hash of the id."""
     texts = synthetic_pages()
     if pages is not None and rows:
-        some = pages.select(F.col(id_col).alias("i"), F.col(html_col).alias("h")).where("i is not null and h is not null")
-        ids = [x.i for x in some.select("i").distinct().orderBy(F.xxhash64("i"), "i").limit(rows).collect()]  # bounded by rows
-        texts += sorted({x.h for x in some.where(F.col("i").isin(ids)).collect()}) if ids else []
+        ids = pages.select(F.col(id_col).cast("bigint").alias("i")).where("i is not null").distinct().orderBy(F.xxhash64("i"), "i").limit(rows).collect()  # bounded by rows
+        texts += one_text_each(pages, [x.i for x in ids], id_col, html_col, TRAIN_CHARS).values()
     found = [b for b in map(blocks, texts) if any(x[3] for x in b)]
     return BiLstm().fit([vectors(b) for b in found], [np.array([x[3] for x in b], np.float32) for b in found])
 

@@ -1,5 +1,7 @@
 """Operators that look at documents, vectors or pages together."""
 
+import math
+import time
 from collections import Counter, defaultdict
 from itertools import combinations
 
@@ -7,8 +9,10 @@ import numpy as np
 import pytest
 from compare import connect, of_spark, of_sql
 from hypothesis import given, settings, strategies as st
+from pyspark.sql import functions as F
 
 from ledgerloom.llm import html_blocks as html, kdtree_topk as kd, packing, probminhash as pmh
+from ledgerloom.llm.common import one_text_each
 from ledgerloom.llm.queries import oracle_sql, queries
 
 
@@ -47,25 +51,73 @@ def test_every_page_is_labelled_as_it_is_alone(spark, sf_dir):
         assert got[r.page_id].content == labels and got[r.page_id].text == "\n".join(b[0] for b, y in zip(found, labels) if y)
 
 
-def test_gradients():
+def scalar_states(p, rows, way):
+    """The states of one direction, number by number."""
+    n, squash = html.HIDDEN, lambda v: 1 / (1 + math.exp(-v))
+    h, c, out = [0.0] * n, [0.0] * n, {}
+    for t in range(len(rows)) if way == "f" else reversed(range(len(rows))):
+        z = [float(p["b" + way][j]) + sum(float(v) * float(p["x" + way][k][j]) for k, v in enumerate(rows[t])) + sum(h[k] * float(p["h" + way][k][j]) for k in range(n)) for j in range(4 * n)]
+        c = [squash(z[n + j]) * c[j] + squash(z[j]) * math.tanh(z[3 * n + j]) for j in range(n)]
+        h = [squash(z[2 * n + j]) * math.tanh(c[j]) for j in range(n)]
+        out[t] = h
+    return [out[t] for t in range(len(rows))]
+
+
+def test_probabilities_are_those_of_a_scalar_network():
+    model = html.train()
+    pages = [html.vectors(html.blocks(p)) for p in html.synthetic_pages(3, seed=77)]
+    pages = [p[:12] for p in pages if len(p)]
+    x, mask = html.padded(pages)
+    got = model.scores(x, mask)
+    for k, rows in enumerate(pages):
+        forward, back = scalar_states(model.p, rows, "f"), scalar_states(model.p, rows, "b")
+        for t in range(len(rows)):
+            z = float(model.p["out_bias"][0]) + sum(a * float(w) for a, w in zip(forward[t] + back[t], model.p["out"]))
+            assert abs(got[t, k] - 1 / (1 + math.exp(-z))) < 1e-4
+
+
+def numeric_gradient(model, loss, grad, r, each=4, step=1e-5):
+    for key, g in grad.items():
+        for _ in range(each):
+            at = tuple(int(r.integers(n)) for n in g.shape)
+            old = model.p[key][at]
+            model.p[key][at] = old + step
+            up = loss()
+            model.p[key][at] = old - step
+            down = loss()
+            model.p[key][at] = old
+            assert abs((up - down) / (2 * step) - g[at]) < 1e-6 + 1e-3 * abs(g[at]), (key, at)
+
+
+def test_gradients_of_both_directions():
     model = html.BiLstm()
     model.p = {k: v.astype(np.float64) for k, v in model.p.items()}
     r = np.random.default_rng(0)
-    x = r.normal(size=(4, 2, html.TAGS + html.WORDS + html.PLAIN))
-    mask = np.array([[1, 1], [1, 1], [1, 1], [1, 0]], bool)
-    loss = lambda: float((model.pass_over(x, mask, "f")[:, :, 0] * mask).sum())
-    _, saved = model.pass_over(x, mask, "f", True)
-    part = np.zeros((4, 2, html.HIDDEN))
-    part[:, :, 0] = mask
-    grad = model.back(x, saved, part, "f")
-    for key, at in (("hf", (1, 2)), ("xf", (3, 5)), ("bf", (7,)), ("xf", (0, 3 * html.HIDDEN))):
-        old = model.p[key][at]
-        model.p[key][at] = old + 1e-2
-        up = loss()
-        model.p[key][at] = old - 1e-2
-        down = loss()
-        model.p[key][at] = old
-        assert abs((up - down) / 2e-2 - grad[key][at]) < 1e-2
+    x = r.normal(size=(5, 3, html.TAGS + html.WORDS + html.PLAIN))
+    mask = np.array([[1, 1, 1], [1, 1, 1], [1, 1, 0], [1, 1, 0], [1, 0, 0]], bool)
+    y = (r.random(mask.shape) < 0.5) * mask
+
+    def loss():
+        p = model.scores(x, mask)
+        return float(-(np.where(y > 0, np.log(p), np.log(1 - p)) * mask).sum() / mask.sum())
+
+    numeric_gradient(model, loss, model.gradient(x, mask, y), r)
+
+
+def test_pages_of_one_id_in_training(spark):
+    pages = html.synthetic_pages(8, seed=3)
+    rows = [(k % 2, pages[k % 8]) for k in range(1000)] + [(7, "<p>" + "long " * 3_000_000)]
+    df = spark.createDataFrame(rows, "page_id bigint, html string")
+    one, other = (one_text_each(d, [0, 1, 7], "page_id", "html", 1_000_000) for d in (df, df.orderBy(F.desc("page_id"), "html").repartition(3)))
+    assert list(one) == [0, 1] and one == other and one[0] in pages[::2] and one[1] in pages[1::2]
+    assert one_text_each(df, [], "page_id", "html", 10) == one_text_each(df, [99], "page_id", "html", 10) == {}
+
+
+@pytest.mark.parametrize("page", ["<a " * 660_000, "<div>" * 400_000, "<div>x" * 60_000 + "</div></b>" * 60_000, '<a "' * 500_000, "<script " * 250_000, "<script>" * 250_000, "<!x" * 600_000, "<?x" * 600_000, "<!--" * 500_000, "<" * 2_000_000, "9" * 2_000_000, "</b>" * 500_000, "<body>" * 300_000])
+def test_long_pages_are_cut_in_linear_time(page):
+    began = time.process_time()
+    html.blocks("<p>token</p>" + page)
+    assert time.process_time() - began < 15
 
 
 def test_awkward_pages(spark):

@@ -312,6 +312,43 @@ def test_pooling_is_a_convolution():
     assert np.allclose(best.max(0), full.max(0), atol=1e-4) and np.allclose(best[0], full[: byte_cnn.CHUNK - byte_cnn.WIDTH + 1].max(0), atol=1e-4)
 
 
+def test_gradients_of_the_network():
+    model, r = byte_cnn.ByteCnn(), np.random.default_rng(1)
+    model.p = {k: v.astype(np.float64) for k, v in model.p.items()}
+    model.p["bias"] += 0.3
+    docs = [r.integers(0, 256, n).astype(np.uint8) for n in (40, 1500, 3, 2200)]
+    y, weight = np.array([1.0, 0, 0, 1]), np.array([1.0, 1.5, 1.5, 1])
+
+    def loss():
+        z = np.array([model.features(model.pooled(d, model.tables())) @ model.p["out"] + model.p["out_bias"][0] for d in docs])
+        return float((weight * (np.log1p(np.exp(z)) - y * z)).mean())
+
+    grad = model.gradient(docs, y, weight)
+    for key, g in grad.items():
+        for at in [np.unravel_index(np.abs(g).argmax(), g.shape)] + [tuple(int(r.integers(n)) for n in g.shape) for _ in range(3)]:
+            old, step = model.p[key][at], 1e-6
+            model.p[key][at] = old + step
+            up = loss()
+            model.p[key][at] = old - step
+            down = loss()
+            model.p[key][at] = old
+            assert abs((up - down) / (2 * step) - g[at]) < 1e-6 + 1e-3 * abs(g[at]), (key, at)
+
+
+def test_probability_is_that_of_a_plain_network():
+    model = byte_cnn.ByteCnn().fit(["good words of a plain text. " * 3, "zz9 qq1 xx7 " * 9] * 20, [1, 0] * 20)
+    for text in ("ab", "good words " * 400, "zz9 qq1 " * 30):
+        data = np.frombuffer(text.encode(), np.uint8)
+        data = np.concatenate([data, np.zeros(max(0, byte_cnn.WIDTH - len(data)), np.uint8)])
+        each = []
+        for s in range(0, max(1, len(data) - byte_cnn.OVERLAP), byte_cnn.CHUNK - byte_cnn.OVERLAP):
+            x = model.p["embed"][data[s : s + byte_cnn.CHUNK]]
+            full = [sum(x[i + w] @ model.p["taps"][w] for w in range(byte_cnn.WIDTH)) for i in range(len(x) - byte_cnn.WIDTH + 1)]
+            each.append(np.maximum(np.max(full, 0) + model.p["bias"], 0))
+        z = np.concatenate([np.max(each, 0), np.mean(each, 0)]) @ model.p["out"] + model.p["out_bias"][0]
+        assert abs(model.probability(text, model.tables()) - 1 / (1 + np.exp(-z))) < 1e-4
+
+
 def test_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.01"
     rows = [(r.text, r.quality) for r in spark.read.parquet(f"{sf}/documents.parquet").join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").orderBy("doc_id").collect() if r.text]
