@@ -2,6 +2,7 @@
 
 import math
 import time
+import tracemalloc
 from collections import Counter, defaultdict
 from itertools import combinations
 
@@ -194,31 +195,32 @@ def test_awkward_vectors(spark):
 # 6
 
 
-def weighted_jaccard(texts):
-    """Exact probability Jaccard of every pair that shares a shingle."""
+def jaccard(x, y):
+    """Exact probability Jaccard by its definition; items of equal weights count together."""
+    both = Counter((x.get(j, 0), y.get(j, 0)) for j in x.keys() | y.keys())
+    return sum(n / sum(m * max(u / a, v / b) for (u, v), m in both.items()) for (a, b), n in both.items() if a and b)
+
+
+def weighted_sets(texts):
     doc, item, weight = pmh.shingles(texts)
     sets = defaultdict(dict)
     for d, i, w in zip(doc.tolist(), item.tolist(), weight.tolist()):
         sets[d][i] = w
-    holders = defaultdict(list)
-    for d, s in sets.items():
-        for i in s:
-            holders[i].append(d)
-    out = {}
-    for a, b in {p for h in holders.values() for p in combinations(sorted(h), 2)}:
-        x, y = sets[a], sets[b]
-        nx, ny = sum(x.values()), sum(y.values())
-        out[a, b] = sum(1 / sum(max(x.get(j, 0) / x[i] if True else 0, y.get(j, 0) / y[i]) for j in x.keys() | y.keys()) for i in x.keys() & y.keys()) if nx and ny else 0.0
-    return out
+    return sets
 
 
 def test_signatures_estimate_probability_jaccard():
     base = [f"w{k}" for k in range(120)]
     variants = [" ".join(base), " ".join(base[:100] + ["other"] * 20), " ".join(base[40:] + base[:10]), " ".join(["w1", "w2", "w3"] * 20 + base)]
-    exact = weighted_jaccard(variants)
+    sets = weighted_sets(variants)
     sign, _ = pmh.sketch(variants, 4096)
-    for (a, b), j in exact.items():
-        assert abs((sign[a] == sign[b]).mean() - j) < 0.035
+    for a, b in combinations(range(len(variants)), 2):
+        assert abs((sign[a] == sign[b]).mean() - jaccard(sets[a], sets[b])) < 0.035
+
+
+def test_groups_of_all_documents_are_those_of_all_pairs(groups, texts):
+    want = exact_groups({i: t for i, t in texts.items() if t})
+    assert {i: groups.get(i, i) for i in want} == want and set(groups) <= set(want)
 
 
 @pytest.fixture(scope="module")
@@ -303,34 +305,79 @@ def united(n, edges):
     return [find(x) for x in range(n)]
 
 
+NEED = math.ceil(pmh.CANDIDATE * pmh.REGISTERS)
+
+
 def all_pairs(signs):
-    return [(a, b) for a in range(len(signs)) for b in range(a) if (signs[a] == signs[b]).mean() >= pmh.THRESHOLD]
+    return [(a, b) for a in range(len(signs)) for b in range(a) if (signs[a] == signs[b]).sum() >= NEED]
 
 
-@pytest.mark.parametrize("n, similarity", [(60, 0.67), (200, 0.67), (120, 0.55), (120, 0.9)])
-def test_components_of_a_bucket_are_exact(n, similarity):
+@pytest.mark.parametrize("dense", [pmh.DENSE, 0])
+@pytest.mark.parametrize("n, similarity", [(60, 0.55), (200, 0.6), (120, 0.45), (120, 0.9)])
+def test_components_of_a_bucket_are_exact(n, similarity, dense, monkeypatch):
+    monkeypatch.setattr(pmh, "DENSE", dense)
     signs = np.concatenate([copies_of_one(n, n // 2, similarity, 6), copies_of_one(n // 2, n // 4, 0.6, 7)])
-    a, b = pmh.links(np.arange(len(signs)), signs, pmh.THRESHOLD)
+    found = pmh.links(signs, NEED)
     want = united(len(signs), all_pairs(signs))
-    assert united(len(signs), zip(a, b)) == want and len(a) == len(signs) - len(set(want))
+    assert united(len(signs), [x[1:] for x in found]) == want and len(found) == len(signs) - len(set(want)) and all(want[a] == root for root, a, _ in found)
+    odd = lambda a, bs: (a + bs) % 3 > 0
+    found = pmh.links(signs, NEED, odd)
+    assert united(len(signs), [x[1:] for x in found]) == united(len(signs), [(a, b) for a, b in all_pairs(signs) if odd(a, b)])
+
 
+def test_a_bucket_of_unlike_members():
+    r = np.random.default_rng(0)
+    signs = r.integers(0, 1 << 32, (50_000, pmh.REGISTERS), dtype=np.uint32)
+    signs[:, :4], signs[:, 20:50] = 7, np.arange(30)  # one band and a passage in common
+    signs[40_000:40_010] = copies_of_one(9, 4, 0.8, 1)
+    began = time.process_time()
+    tracemalloc.start()
+    found = pmh.links(signs, NEED)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(found) == 9 and time.process_time() - began < 60 and peak < 1_000_000_000
 
-def test_edited_copies_meet_through_an_original_of_a_middle_id(spark):
-    r = np.random.default_rng(1)
-    words = [f"w{k}" for k in range(400)]
-    texts = {100: " ".join(words)}
-    for k in [*range(40, 100), *range(101, 160)]:
+
+def exact_groups(texts):
+    """{id: smallest id}: all candidates compared by exact similarity."""
+    ids = sorted(texts)
+    sign, has = pmh.sketch([texts[i] for i in ids])
+    sets = weighted_sets([texts[i] for i in ids])
+    pairs = [(a, b) for a, b in all_pairs(sign) if has[a] and has[b] and (sign[a] == sign[b]).reshape(-1, pmh.ROWS).all(1).any() and jaccard(sets[a], sets[b]) >= pmh.THRESHOLD - 1e-9]
+    return {ids[k]: ids[root] for k, root in enumerate(united(len(ids), pairs)) if has[k]}
+
+
+def test_similarity_is_the_exact_one():
+    r = np.random.default_rng(3)
+    texts = [" ".join(f"w{k}" for k in r.integers(0, 12, 300)) for _ in range(6)] + ["a b c d e f", "a b c d e f a b c d e f", "x", ""]
+    sets, plain = pmh.weighted_sets(texts), weighted_sets(texts)
+    for a, b in combinations(range(len(texts)), 2):
+        assert abs(pmh.similarity(sets[a], sets[b]) - jaccard(plain[a], plain[b])) < 1e-9
+
+
+def near_copies(seed, size, edits, ids, original):
+    r = np.random.default_rng(seed)
+    words = [f"s{seed}w{k}" for k in range(size)]
+    texts = {original: " ".join(words)}
+    for k in ids:
         copy = list(words)
-        for j in r.choice(400, 30, replace=False):
+        for j in r.choice(size, edits, replace=False):
             copy[j] = f"x{k}y{j}"
         texts[k] = " ".join(copy)
-    ids = sorted(texts)
-    sign, _ = pmh.sketch([texts[i] for i in ids])
-    share = [(a, b) for a, b in all_pairs(sign) if (sign[a] == sign[b]).reshape(-1, pmh.ROWS).all(1).any()]
-    want = {ids[k]: ids[root] for k, root in enumerate(united(len(ids), share))}
+    return texts
+
+
+@pytest.mark.parametrize("wide", [pmh.WIDE, 16])
+def test_groups_are_those_of_all_pairs(spark, wide):
+    """Edited copies that meet through an original of a middle id, and texts around the threshold, in one and in many blocks."""
+    texts = near_copies(1, 400, 30, [*range(40, 100), *range(101, 160)], 100) | near_copies(2, 200, 16, range(300, 340), 320)
+    passage = " ".join(f"p{k}" for k in range(100))
+    texts |= {k: passage + " " + " ".join(f"d{k}v{j}" for j in range(35 + k % 30)) for k in range(500, 560)}  # about half in common
+    want = exact_groups(texts)
     df = spark.createDataFrame(sorted(texts.items()), "doc_id bigint, text string")
-    got = {x.doc_id: x.group_id for x in pmh.duplicate_groups(df).collect()}
-    assert {i: got.get(i, i) for i in ids} == want and sum(g == 40 for g in got.values()) > 110
+    got = {x.doc_id: x.group_id for x in pmh.duplicate_groups(df, wide=wide).collect()}
+    assert {i: got.get(i, i) for i in want} == want and sum(g == 40 for g in got.values()) > 110
+    assert 1 < len({want[k] for k in range(500, 560)}) < 60  # some pairs fail, some don't
 
 
 def test_every_text_of_a_repeated_id_is_compared(spark):

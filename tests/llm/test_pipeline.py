@@ -8,9 +8,10 @@ from ledgerloom.llm.common import table
 
 
 def brute_groups(rows):
-    """All pairs compared: linked if they share a band and enough registers."""
+    """All pairs compared: linked if they share a band, enough registers and half of their shingles."""
     rows = sorted((i, t) for i, t in rows)
     sign, has = probminhash.sketch([t for _, t in rows])
+    sets = probminhash.weighted_sets([t for _, t in rows])
     keep = []
     parent = list(range(len(rows)))
 
@@ -22,7 +23,7 @@ def brute_groups(rows):
     for b in range(len(rows)):
         for a in range(b):
             agree = sign[a] == sign[b]
-            if has[a] and has[b] and agree.mean() >= probminhash.THRESHOLD and agree.reshape(-1, probminhash.ROWS).all(1).any():
+            if has[a] and has[b] and agree.mean() >= probminhash.CANDIDATE and agree.reshape(-1, probminhash.ROWS).all(1).any() and probminhash.similarity(sets[a], sets[b]) >= probminhash.THRESHOLD - 1e-9:
                 lo, hi = sorted((find(a), find(b)))
                 parent[hi] = lo
     for k, (i, t) in enumerate(rows):
