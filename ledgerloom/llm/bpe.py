@@ -13,7 +13,8 @@ Defined results
 * null text: null ids and a null count;  empty text: no ids;
 * ids decode to exactly the bytes of the text;
 * very long texts are encoded whole; a very long run without a split is one long pre-token, still in linear time;
-* null ids, repeated rows: carried through, one row out for each row in;  extra columns: not read.
+* null ids, repeated rows: carried through, one row out for each row in;  extra columns: not read;
+* empty table: empty result.
 """
 
 from __future__ import annotations
@@ -219,18 +220,24 @@ def list_column(rows: list[list[int] | None]) -> pa.Array:
 
 
 def bpe_encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str = VOCABULARY, pattern: str = SPLIT) -> DataFrame:
-    """(doc_id, token_ids, n_tokens) of every row; map-side only."""
+    """(doc_id, token_ids, n_tokens, round_trip) of every row; map-side only.
+
+    round_trip says whether the ids, decoded again, are exactly the bytes of the text (null for null text).
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path, pattern)
+        decode = encode.bpe.decode
         for b in batches:
             texts = b.column(1)
             for start in range(0, b.num_rows, 512):
-                rows = [None if t is None else encode(t) for t in texts.slice(start, 512).to_pylist()]
+                some = texts.slice(start, 512).to_pylist()
+                rows = [None if t is None else encode(t) for t in some]
                 n = pa.array([None if r is None else len(r) for r in rows], pa.int64())
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(start, 512).cast(pa.int64()), list_column(rows), n], names=["doc_id", "token_ids", "n_tokens"])
+                back = pa.array([None if r is None else decode(r) == t.encode("utf-8", "surrogatepass") for r, t in zip(rows, some)], pa.bool_())
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(start, 512).cast(pa.int64()), list_column(rows), n, back], names=["doc_id", "token_ids", "n_tokens", "round_trip"])
 
-    return map_arrow(df.select(id_col, text_col), run, "doc_id bigint, token_ids array<int>, n_tokens bigint")
+    return map_arrow(df.select(id_col, text_col), run, "doc_id bigint, token_ids array<int>, n_tokens bigint, round_trip boolean")
 
 
 def bpe_decode(df: DataFrame, id_col: str = "doc_id", ids_col: str = "token_ids", path: str = VOCABULARY) -> DataFrame:

@@ -11,6 +11,7 @@ Defined results
 * a text below the first band is too short for its ratio to mean anything: kept;
 * very long text: compressed whole, as one frame, and in all its chunks;
 * null id, repeated rows, ties: every row is judged on its own, ids are only carried;
+* empty table: empty result;
 * extra columns: :func:`compression_filter` returns exactly the columns of its input, whatever their names.
 """
 
@@ -78,7 +79,7 @@ class Judge:
         data = text.encode("utf-8", "surrogatepass")
         whole = self.ratio(data)
         low, high = limits(len(data), self.bands)
-        if len(data) <= self.chunk_bytes * 3 // 2:  # one chunk: the document itself
+        if len(data) < self.chunk_bytes * 3 // 2:  # one chunk: the document itself
             ok = low <= whole <= high
             bad, least, most = float(not ok), whole, whole
         else:

@@ -25,7 +25,7 @@ def op2_compression_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_bpe_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's ids."""
+    """Every document's ids, and whether they decode to exactly its text."""
     from ledgerloom.llm.bpe import bpe_encode
 
     return bpe_encode(table(spark, sf_dir, "documents"))

@@ -60,6 +60,8 @@ def test_compression_rules_on_awkward_rows(awkward, empty):
 
 
 def test_random_text_is_incompressible():
+    three = " ".join(map(str, range(700)))[:3072]
+    assert [len(c) for c in rules.chunks(three.encode())] == [2048, 1024] and rules.Judge()(three)[1] < rules.Judge()(three)[2]
     for n in (300, 2000, 6000, 30_000, 100_000):
         assert rules.Judge()(base64.b64encode(random.Random(n).randbytes(n)).decode())[5] == "incompressible"
 
@@ -75,7 +77,7 @@ def test_ids_are_those_of_the_merges(spark, sf_dir, texts):
     rows = queries()["op3_bpe_encode"](spark, sf_dir).collect()
     assert len(rows) == len(texts)
     for r in rows:
-        assert r.token_ids == REFERENCE.encode_ordinary(texts[r.doc_id]) and r.n_tokens == len(r.token_ids)
+        assert r.token_ids == REFERENCE.encode_ordinary(texts[r.doc_id]) and r.n_tokens == len(r.token_ids) and r.round_trip
 
 
 @settings(max_examples=300, deadline=None)
