@@ -3,17 +3,27 @@
 Five stages, each on all that the one before it kept: compression rules drop repetitive and incompressible documents, the
 classifier drops those of low quality, of each group of near duplicates one document stays, secrets are replaced in the
 text, and the rest is packed into windows.  A stage's result is written as Parquet into the shared folder and read
-again, so that no stage depends on the lineage of another.
+again, so that no stage depends on the lineage of another; it is deleted once the next one has been written, and the
+last one, which the caller reads, stays with the application's checkpoints.
+
+Defined results
+---------------
+* null, empty or blank text: dropped by the first stage;  null ids and repeated rows: each row goes through the filters on
+  its own; of a group of near duplicates the rows of the smallest id stay, and rows without an id are never compared;
+* very long texts: read whole by every stage, and cut into several windows;
+* ties: the smallest id stays;  extra columns: kept by every stage but the last;
+* empty table: no windows.
+
+run() starts Spark jobs at once.
 """
 
 from __future__ import annotations
 
-import os
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.llm.common import shared_folder, table
+from ledgerloom.llm.common import remove, shared_folder, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -65,10 +75,13 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of sf_dir."""
-    shared_folder(spark)
-    folder = os.path.join(spark.sparkContext._jsc.sc().getCheckpointDir().get(), f"pipeline-{uuid.uuid4().hex}")
-    docs = table(spark, sf_dir, "documents")
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
-        docs = spark.read.parquet(f"{folder}/{name}")
+        path = f"{folder}/{name}"
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+        if before:
+            remove(spark, before)
+        before = path
     return docs
