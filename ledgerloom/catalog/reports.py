@@ -170,10 +170,11 @@ def q_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def report_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A report for each order: a cover, a balance sheet, notes, and a page of prose; every ninth is international."""
-    sides = with_sides(spark, sf_dir).join(covers(spark, sf_dir), "o_orderkey").where("liabilities is not null and equity is not null")
-    amount = "format_number({}, 2)".format
-    both = amount("liabilities + equity")
+    """A report for each order: a cover, a balance sheet (a side that it lacks is a dash), notes, and a page of prose; every
+    ninth is international."""
+    sides = with_sides(spark, sf_dir).join(covers(spark, sf_dir), "o_orderkey")
+    amount = "coalesce(format_number({}, 2), '—')".format
+    both = amount("coalesce(liabilities + equity, liabilities, equity)")
     grid = f"array(array('', '2024'), array('Total assets', '$', {both}), array('Total liabilities', '', {amount('liabilities')}), array('Total stockholders\\' equity', '', {amount('equity')}))"
     sheet = f"'CONSOLIDATED BALANCE SHEETS\n(in thousands)\nTotal assets $ ' || {both} || '\nTotal liabilities ' || {amount('liabilities')} || '\nTotal stockholders\\' equity ' || {amount('equity')}"
     abroad = f"'Statement of Financial Position\nprepared under IFRS\nTotal assets ' || {both} || repeat(' and what they are', 6)"

@@ -31,6 +31,8 @@ class Reports:
     checks: DataFrame
     scores: DataFrame
     rejected: DataFrame
+    #: (filing_id, label, canonical): names of labels, those that a filing left open filled from the first that has one.
+    mappings: DataFrame
 
 
 def table_markdown(sections: DataFrame, names: DataFrame | None) -> DataFrame:
@@ -58,6 +60,7 @@ def process_reports(spark: SparkSession, pages: DataFrame, parsed_at: str, facts
     facts and submissions are the long forms of structured data by filer; without them statements rest on the pages.
     Scanned reports are rejected as rows, not as an error.
     """
+    pages = written(pages)  # whatever extracted them runs once
     guard = detect.scanned_guard(pages)
     rejected = guard.where("scanned").select("filing_id", F.lit("scanned").alias("reason"))
     usable = pages.join(rejected.select("filing_id"), "filing_id", "left_anti")
@@ -65,8 +68,10 @@ def process_reports(spark: SparkSession, pages: DataFrame, parsed_at: str, facts
     typed = usable.join(kind, "filing_id")
     own, prefix = detect.drop_prefix(typed.where("report_type = 'sec'").drop("report_type"))
     abroad = typed.where("report_type = 'ifrs'").drop("report_type")
-    cover = S.cover_pages(own)
-    domestic, ifrs = S.split_sections(own), S.split_sections(abroad, ifrs=True)
+    own = written(own)
+    starts = written(S.section_starts(own))  # headings are looked for once, for covers and for sections
+    cover = S.cover_pages(own, starts)
+    domestic, ifrs = S.split_sections(own, starts=starts), S.split_sections(abroad, ifrs=True)
     dim = section_dim(spark)
     kinds = F.broadcast(dim.select("key", F.col("kind").alias("section_kind")))
     found = written(domestic.unionByName(ifrs).join(kinds, "key"))
@@ -133,7 +138,9 @@ def process_reports(spark: SparkSession, pages: DataFrame, parsed_at: str, facts
     matter = F.when(F.col("meta").isNotNull(), M.front_matter(F.col("meta"), F.col("filing_sequence"), {"data_sources": F.col("source_map"), "confidence": F.col("confidence_map")}))
     heads = heads.withColumn("front_matter", matter).join(V.render_checks(checks).withColumnRenamed("markdown", "validation"), "filing_id", "left").join(C.render_confidence(scores, differences, order).withColumnRenamed("markdown", "confidence"), "filing_id", "left")
     documents = R.assemble(heads.select("filing_id", "report_type", "stem", "front_matter", "validation", "confidence"), processed, dim)
-    return Reports(documents, found.drop("section_kind"), normalized, meta, checks, scores, rejected)
+    named = normalized.where("trim(label) <> ''").groupBy("filing_id", "label").agg(F.max_by("canonical", F.struct("key", "table_ix", "row_ix")).alias("canonical"))
+    mappings = N.consistent_mappings(named.withColumnRenamed("filing_id", "filing_ord")).withColumnRenamed("filing_ord", "filing_id")
+    return Reports(documents, found.drop("section_kind"), normalized, meta, checks, scores, rejected, mappings)
 
 
 def evaluate_documents(documents: DataFrame) -> DataFrame:

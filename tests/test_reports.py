@@ -3,17 +3,20 @@
 import json
 import subprocess
 import sys
+import time
+import uuid
 from dataclasses import replace
 from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
+from ledgerloom.__main__ import main
 from ledgerloom.functions.cover import cover_fields
 from ledgerloom.operators import quality as Q
 from ledgerloom.operators.facts import facts_long, submissions_long
 from ledgerloom.plans.reports import process_reports
-from ledgerloom.sources import notes, reports as R, sinks
+from ledgerloom.sources import fetch, notes, reports as R, sinks
 from ledgerloom.sources.shared import written
 from ledgerloom.streaming.reports import process_stream, stream_pages
 
@@ -111,6 +114,55 @@ def test_pdf_folder_with_one_bad_file(spark, tmp_path):
     assert [(r.filing_id, r.error) for r in failed.collect()] == [("b", "ValueError: no PDF")]
 
 
+def test_command_over_a_folder(spark, tmp_path, capsys):
+    """Two good files, a scanned one and a broken one: documents, a summary, the exit code; each file is extracted once."""
+    for name in ("acme", "beta", "blank", "broken"):
+        (tmp_path / f"{name}.pdf").write_bytes(name.encode())
+    calls = tmp_path / "calls"
+    calls.mkdir()
+    made = {name: domestic(name) for name in ("acme", "beta")} | {"blank": [("blank", 1, "", [])]}
+
+    def extractor(content):
+        name = content.decode()
+        (calls / f"{name}-{uuid.uuid4().hex}").touch()
+        if name == "broken":
+            raise ValueError("no PDF")
+        for _, _, text, tables in made[name]:
+            yield text, tables, lambda: []
+
+    assert main([str(tmp_path), "--evaluate", "--report", str(tmp_path / "report.md")], spark, extractor=extractor) == 1
+    assert sorted(p.name for p in (tmp_path / "output").iterdir()) == ["acme.md", "beta.md"]
+    said = capsys.readouterr().err
+    assert "2 succeeded, 2 failed" in said and "0 with structured data, 2 from pages only" in said and "blank: scanned" in said and "broken: ValueError: no PDF" in said
+    assert sorted(p.name.split("-")[0] for p in calls.iterdir()) == ["acme", "beta", "blank", "broken"]
+    assert "## acme" in (tmp_path / "report.md").read_text() and main([str(tmp_path / "output"), "--eval-only"], spark) == 0
+    assert main([str(tmp_path / "missing")], spark) == main([str(calls)], spark) == 1
+
+
+def test_names_are_filled_across_the_filings_of_a_run(spark):
+    open_sheet = [["", "2024", ""], ["Total assets", "$", "1,000"], ["Holdings of the second kind", "", "600"]]
+    rows = domestic("one") + [r if r[1] != 2 else (r[0], 2, r[2], [open_sheet]) for r in domestic("two")]
+    got = {(r.filing_id, r.label): r.canonical for r in process_reports(spark, spark.createDataFrame(rows, R.PAGES), "now").mappings.collect()}
+    assert got["one", "Total assets"] == got["two", "Total assets"] == "Total Assets" and got["two", "Holdings of the second kind"] == ""
+
+
+def test_fetch_keeps_its_distance_and_reports_failures(spark):
+    FetchError = fetch.FetchError
+
+    def transport(url):
+        if "0000000002" in url:
+            raise FetchError("404")
+        return json.dumps({"url": url, "at": time.time()})
+
+    filers = spark.createDataFrame([("1",), ("1",), (None,), ("2",), ("0000000003",)], "filer string")
+    rows = {r.filer: r for r in fetch.fetch(filers, fetch.FACTS, transport, per_second=5).collect()}
+    assert set(rows) == {"0000000001", "0000000002", "0000000003"} and rows["0000000002"].error == "FetchError: 404" and rows["0000000002"].json is None
+    good = [json.loads(rows[k].json) for k in ("0000000001", "0000000003")]
+    assert good[0]["url"].endswith("companyfacts/CIK0000000001.json") and abs(good[0]["at"] - good[1]["at"]) >= 0.19
+    with pytest.raises(fetch.FetchError, match="mail address"):
+        fetch.http("somebody")
+
+
 def test_notes_by_a_model(spark):
     df = spark.createDataFrame([("a", "Note 1. One"), ("b", "refuse")], "filing_id string, text string")
 
