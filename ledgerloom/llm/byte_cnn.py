@@ -41,8 +41,10 @@ TRAIN_ROWS = 3000
 #: Characters of their texts together; a text that no longer fits is left out whole.
 TRAIN_CHARS = 32_000_000
 EPOCHS, BATCH, RATE, SEED = 14, 32, 0.01, 11
-#: Few rows are gone over more often, until there were this many batches.
+#: Few rows are gone over more often, until there were this many batches, and in smaller batches where their bytes, all
+#: epochs together, would be more than this.
 STEPS = 400
+TRAIN_BYTES = EPOCHS * TRAIN_CHARS
 #: A document is kept from this probability on.
 KEEP = 0.2
 
@@ -134,6 +136,19 @@ class ByteCnn:
         grad["taps"] = np.einsum("be,wbf->wef", self.p["embed"], table_grad)
         return grad
 
+    @staticmethod
+    def plan(sizes: list[int]) -> tuple[int, int]:
+        """(epochs, documents of a batch) for documents of these many bytes.
+
+        Few but very long documents would be gone over hundreds of times for the sake of STEPS, whatever their bytes.
+        """
+        n = len(sizes)
+        epochs = max(EPOCHS, -(-STEPS // -(-n // BATCH)))
+        if epochs * sum(sizes) <= TRAIN_BYTES or epochs == EPOCHS:
+            return epochs, BATCH
+        epochs = max(EPOCHS, TRAIN_BYTES // sum(sizes))
+        return epochs, max(1, min(BATCH, n * epochs // STEPS))
+
     def fit(self, texts: list[str], labels: list[int]) -> ByteCnn:
         """Adam on the logistic loss."""
         docs = [np.frombuffer(t.encode("utf-8", "surrogatepass"), np.uint8) for t in texts]
@@ -144,11 +159,11 @@ class ByteCnn:
         m = {k: np.zeros_like(v) for k, v in self.p.items()}
         v2 = {k: np.zeros_like(v) for k, v in self.p.items()}
         r, step = np.random.default_rng(SEED + 1), 0
-        epochs = max(EPOCHS, -(-STEPS // -(-len(docs) // BATCH)))
+        epochs, size = self.plan([len(d) for d in docs])
         for epoch in range(epochs):
             order = r.permutation(len(docs))
-            for lo in range(0, len(order), BATCH):
-                batch = order[lo : lo + BATCH]
+            for lo in range(0, len(order), size):
+                batch = order[lo : lo + size]
                 grad = self.gradient([docs[i] for i in batch], y[batch], weight[batch])
                 step += 1
                 for k in self.p:

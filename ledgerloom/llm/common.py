@@ -68,24 +68,29 @@ def remove(spark: SparkSession, path: str) -> None:
 def one_text_each(rows: DataFrame, ids: list[int], id_col: str, text_col: str, budget: int) -> dict[int, str]:
     """{id: text} for a bounded list of ids, in its order, of at most `budget` characters together.
 
-    One text counts for each id: of several the one with the least hash, and of equal hashes the least text, so that the
-    choice doesn't hang on the order of rows.  Rows are read once; repeated ids meet in an aggregation, and what reaches
-    the driver is bounded in rows and in characters.  A text that no longer fits is left out whole.
+    One text counts for each id: of several the one with the least hash, and of equal hashes the shortest and of those the
+    least, so that the choice doesn't hang on the order of rows.  Rows are read twice: hashes and lengths alone choose, and
+    only chosen texts are moved, so that what is shuffled and what reaches the driver are bounded in rows and in characters.
+    A text that no longer fits is left out whole.
     """
     if not ids:
         return {}
     spark = rows.sparkSession
     wanted = F.broadcast(spark.createDataFrame([(i,) for i in ids], "i bigint"))  # as long as the list
-    of_ids = rows.select(F.col(id_col).cast("bigint").alias("i"), F.col(text_col).alias("t")).where("t is not null").join(wanted, "i")
-    each = written(of_ids.groupBy("i").agg(F.min(F.struct(F.xxhash64("t"), "t")).alias("m")).select("i", "m.t", F.length("m.t").alias("n")), "training")
-    sizes, keep = {r.i: r.n for r in each.select("i", "n").collect()}, []
+    of_ids = rows.select(F.col(id_col).cast("bigint").alias("i"), F.col(text_col).alias("t")).where("t is not null")
+    hashed = F.xxhash64("t").alias("h"), F.length("t").alias("n")
+    least = of_ids.join(wanted, "i").select("i", *hashed).groupBy("i").agg(F.min(F.struct("h", "n")).alias("m"))
+    sizes, keep = {r.i: (r.h, r.n) for r in least.select("i", "m.*").collect()}, []
     for i in ids:
-        if i in sizes and sizes[i] <= budget:
-            keep.append(i)
-            budget -= sizes[i]
-    fits = F.broadcast(spark.createDataFrame([(i,) for i in keep], "i bigint"))
-    text = {r.i: r.t for r in each.join(fits, "i").select("i", "t").collect()}
-    return {i: text[i] for i in keep}
+        if i in sizes and sizes[i][1] <= budget:
+            keep.append((i, *sizes[i]))
+            budget -= sizes[i][1]
+    if not keep:
+        return {}
+    fits = F.broadcast(spark.createDataFrame(keep, "i bigint, least bigint, chars int"))
+    chosen = of_ids.join(fits, "i").where((hashed[0] == F.col("least")) & (hashed[1] == F.col("chars")))
+    text = {r.i: r.t for r in chosen.groupBy("i").agg(F.min("t").alias("t")).collect()}
+    return {i: text[i] for i, _, _ in keep}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -1,10 +1,13 @@
 """The pipeline against a version of it that goes through the documents one by one."""
 
 from collections import defaultdict
+from pathlib import Path
 
 import corpus_pipeline
+import numpy as np
 from ledgerloom.llm import byte_cnn, compression_rules, packing, probminhash, secret_novelty
-from ledgerloom.llm.common import table
+from ledgerloom.llm.common import one_text_each, shared_folder, table
+from pyspark.sql import functions as F
 
 
 def brute_groups(rows):
@@ -73,3 +76,31 @@ def test_awkward_rows_go_through(spark, sf_dir, awkward, empty):
             docs = stage(spark, docs, sf_dir)
         ids = {i for w in docs.collect() for i in w.doc_ids}
         assert not ids & {3, 4, 5}
+
+
+def test_training_on_few_long_texts_is_bounded(monkeypatch):
+    """30 texts of a million bytes were gone over 400 times."""
+    seen = []
+
+    def gradient(self, docs, y, weight):
+        seen.append(sum(map(len, docs)))
+        return {k: np.zeros_like(x) for k, x in self.p.items()}
+
+    monkeypatch.setattr(byte_cnn.ByteCnn, "gradient", gradient)
+    byte_cnn.ByteCnn().fit(["a" * 1_000_000] * 30, [0, 1] * 15)
+    assert sum(seen) <= byte_cnn.EPOCHS * byte_cnn.TRAIN_CHARS and len(seen) >= byte_cnn.STEPS
+    assert byte_cnn.ByteCnn.plan([9_000] * 80) == (134, byte_cnn.BATCH)  # short texts: as ever
+    assert byte_cnn.ByteCnn.plan([40_000] * 3000) == (byte_cnn.EPOCHS, byte_cnn.BATCH)
+
+
+def test_texts_left_out_of_training_are_not_moved(spark):
+    """They were shuffled and written with the others, all labelled texts of a table of long ones."""
+    rows = [(1, "first"), (1, "again"), (2, "".join(map(chr, np.random.default_rng(0).integers(33, 120, 3_000_000)))), (3, "third"), (4, None)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    folder = Path(shared_folder(spark).removeprefix("file:"))
+    size = lambda: sum(p.stat().st_size for p in folder.rglob("*") if p.is_file())
+    before = size()
+    got = one_text_each(df, [1, 2, 3, 4, 5], "doc_id", "text", 1000)
+    first = df.where("doc_id = 1").orderBy(F.xxhash64("text")).first().text
+    assert got == {1: first, 3: "third"}
+    assert size() - before < 1_000_000
