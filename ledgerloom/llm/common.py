@@ -17,15 +17,21 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 #: Arrow batches of long texts are bounded by bytes, not only by rows.
 BATCH_BYTES = 16 << 20
 BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+#: The vectorized reader holds so many rows of every column at once, and by default 4,096; the writer asks how full a page
+#: or a row group is after so many rows, and by default 100.  Both know rows and no bytes, so a few rows are the bound that
+#: holds for book-length texts too.  Settings of sessions, which reach the writer as well.
+ROW_SETTINGS = {"spark.sql.parquet.columnarReaderBatchSize": 16, "parquet.page.size.row.check.min": 1, "parquet.block.size.row.check.min": 1}
 
 
 def bound_batches(spark: SparkSession) -> None:
-    """Bound the Arrow batches sent to Python by bytes as well as by rows, unless the session has a bound of its own.
+    """Bound what is held of a table at once, in the Arrow batches sent to Python and where Parquet is read and written,
+    unless the session has bounds of its own.
 
     A batch of 10,000 rows is harmless for short rows and several GB for book-length ones.
     """
-    if spark.conf.get(BATCH_SETTING, None) is None:
-        spark.conf.set(BATCH_SETTING, str(BATCH_BYTES))
+    for key, most in {BATCH_SETTING: BATCH_BYTES, **ROW_SETTINGS}.items():
+        if spark.conf.get(key, None) is None:
+            spark.conf.set(key, str(most))
 
 
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
@@ -94,4 +100,5 @@ def one_text_each(rows: DataFrame, ids: list[int], id_col: str, text_col: str, b
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

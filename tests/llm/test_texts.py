@@ -379,3 +379,15 @@ def test_classifier_on_awkward_rows(spark, awkward, empty):
     none = byte_cnn.train(empty, labels.limit(0))
     assert not none.trained and {r.probability for r in byte_cnn.quality_scores(awkward, none).collect()} == {0.0, 1.0}
     assert byte_cnn.quality_scores(empty, none).count() == byte_cnn.quality_filter(empty, none).count() == 0
+
+
+def test_what_is_held_of_long_texts_is_bounded(spark, tmp_path):
+    import pyarrow.parquet as pq
+
+    docs = spark.createDataFrame([(k, random.Random(k).randbytes(60_000).hex()) for k in range(40)], "doc_id bigint, text string").coalesce(1)
+    kept = rules.compression_filter(docs, bands=((0, 0.0, float("inf")),))
+    kept.write.option("parquet.block.size", 1 << 20).parquet(str(tmp_path / "kept"))
+    (file,) = (tmp_path / "kept").glob("*.parquet")
+    found = pq.ParquetFile(file)
+    assert found.metadata.num_rows == 40 and found.num_row_groups > 2  # one group of all rows, where a hundred rows are waited for
+    assert int(spark.conf.get("spark.sql.parquet.columnarReaderBatchSize")) <= 16
