@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ledgerloom.catalog.items import with_sides
-from ledgerloom.catalog.registry import iso_date, query, table, words_date
+from ledgerloom.catalog.registry import iso_date, query, spread, table, words_date
 from ledgerloom.operators import metadata as M, quality as Q, render as R, validate as V
 from ledgerloom.plans.reports import process_reports
 from ledgerloom.sources.dimensions import section_dim
@@ -30,7 +30,7 @@ FIELDS = f"""c AS (SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 2 THEN '10-Q' W
 
 
 def covers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "orders").selectExpr("o_orderkey", f"{cover()} AS t")
+    return spread(table(spark, sf_dir, "orders"), "o_orderkey").selectExpr("o_orderkey", f"{cover()} AS t")
 
 
 @query(f"""
@@ -121,7 +121,7 @@ FAULTY = f"""'# doc' || chr(10) || '## Cover Page' || chr(10) || '| Filing Type
 
 
 def faulty(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "orders").selectExpr("o_orderkey AS k").selectExpr("cast(k AS string) AS filing_id", f"{FAULTY} AS content")
+    return spread(table(spark, sf_dir, "orders"), "o_orderkey").selectExpr("o_orderkey AS k").selectExpr("cast(k AS string) AS filing_id", f"{FAULTY} AS content")
 
 
 def one_check(name: str):

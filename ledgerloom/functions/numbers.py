@@ -20,9 +20,13 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), lambda v: body(v))[0]
 
 
+#: What (?U)\s stands for in a pattern.
+WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
 def squash(c: Column) -> Column:
-    """Strip white space of any kind from both ends."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    """Strip white space of any kind from both ends; a pattern would be tried again at every gap between words."""
+    return F.btrim(c, F.lit(WHITE))
 
 
 def to_double(c: Column) -> Column:

@@ -12,6 +12,8 @@ from ledgerloom.functions.numbers import let, squash
 from ledgerloom.functions.phrases import phrase
 
 LINE_ENDS = r"\r\n|[\n\r\x0B\x0C\x1C\x1D\x1E\x85  ]"
+#: The ends that are rare; without one of them a text is cut at a plain character, which needs no pattern.
+RARE_ENDS = r"[\r\x0B\x0C\x1C\x1D\x1E\x85  ]"
 NUMBER = r"\d\d?\d?"
 PAGE_NUMBER = rf"(?U)^\s*{NUMBER}\s*$"
 FORM = r"Form\s+10-[KQ]"
@@ -31,7 +33,7 @@ REPEATS, REPEAT_CHARS = 3, 120
 def split_lines(text: Column) -> Column:
     """The lines of a text; a line end at the very end opens no further line."""
     cut = lambda p: F.when(F.element_at(p, -1) == "", F.slice(p, 1, F.greatest(F.size(p) - 1, F.lit(0)))).otherwise(p)
-    return F.when(text == "", F.array().cast("array<string>")).otherwise(let(F.split(text, LINE_ENDS, -1), cut))
+    return F.when(text == "", F.array().cast("array<string>")).otherwise(let(F.when(text.rlike(RARE_ENDS), F.split(text, LINE_ENDS, -1)).otherwise(F.split(text, "\n", -1)), cut))
 
 
 def join_lines(lines: Column) -> Column:
