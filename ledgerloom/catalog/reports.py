@@ -104,7 +104,7 @@ SELECT CAST(l_orderkey AS VARCHAR) AS filing_id, '| Check | Status | Detail |' |
 FROM lineitem GROUP BY l_orderkey""")
 def validation_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Check results as tables."""
-    rows = table(spark, sf_dir, "lineitem").selectExpr("cast(l_orderkey AS string) AS filing_id", "l_linenumber * 10000000000L + l_partkey * 100000L + l_suppkey AS pos", "'Check ' || l_linenumber AS check", "'PASS' AS status", "cast(l_partkey AS string) AS detail")
+    rows = table(spark, sf_dir, "lineitem").selectExpr("cast(l_orderkey AS string) AS filing_id", "struct(l_linenumber, l_partkey, l_suppkey) AS pos", "'Check ' || l_linenumber AS check", "'PASS' AS status", "cast(l_partkey AS string) AS detail")
     return V.render_checks(rows)
 
 

@@ -23,3 +23,10 @@ def test_rare_line_ends_cut_lines(spark):
     texts = ["a\nb\n", "a\r\nb", "a b\n\nc", "\n", "", "x\x85y\r", " a b "]
     got = [r.x for r in spark.createDataFrame([(t,) for t in texts], "t string").select(lines.split_lines(F.col("t")).alias("x")).collect()]
     assert got == [["a", "b"], ["a", "b"], ["a", "b", "", "c"], [""], [], ["x", "y"], [" a b "]]
+
+
+def test_checks_of_a_filing_keep_their_order_whatever_the_keys(spark, tmp_path):
+    lines = [(1, 1, 1, 900_000), (1, 1, 2, 5), (1, 1, 10_000_000, 1), (1, 2, 3, 1)]  # order, line, part, supplier
+    spark.createDataFrame(lines, "l_orderkey bigint, l_linenumber int, l_partkey bigint, l_suppkey bigint").write.parquet(f"{tmp_path}/lineitem.parquet")
+    (got,) = reports.validation_markdown(spark, str(tmp_path)).collect()
+    assert [x.split(" | ")[2].rstrip(" |") for x in got.markdown.split("\n")[2:]] == ["1", "2", "10000000", "3"]
