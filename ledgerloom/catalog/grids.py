@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ledgerloom.catalog.registry import money, query, table
+from ledgerloom.catalog.registry import money, query, spread, table
 from ledgerloom.operators import render as R, repair as T
 
 #: What orders the rows of a table; line numbers recur within an order.
@@ -30,7 +30,7 @@ def shown(rows: Column) -> Column:
 
 def tables(spark: SparkSession, sf_dir: str, row: str) -> DataFrame:
     """(l_orderkey, t): a table for each order, its rows made by `row`."""
-    rows = table(spark, sf_dir, "lineitem").selectExpr("l_orderkey", f"struct({KEY}, {row} AS r) AS x")
+    rows = spread(table(spark, sf_dir, "lineitem"), "l_orderkey").selectExpr("l_orderkey", f"struct({KEY}, {row} AS r) AS x")
     return rows.groupBy("l_orderkey").agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["r"]).alias("t"))
 
 
@@ -46,7 +46,7 @@ def collapse_row(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sparse rows as label and values, with labels that the grid cut."""
     head = "CASE l_linenumber % 3 WHEN 0 THEN array('Net in', 'come of ' || l_partkey) WHEN 1 THEN array('Net', '', 'Sales of ' || l_partkey) ELSE array('Part ' || l_partkey) END"
     row = f"concat({head}, array('', '$', '', {one()}, '', null, '$', '(' || {two()}, ')', '', cast(l_linenumber AS string), '%'))"
-    return table(spark, sf_dir, "lineitem").selectExpr("l_orderkey", "l_linenumber", f"{row} AS r").select("l_orderkey", "l_linenumber", F.array_join(T.collapse_row("r"), "|").alias("cells"))
+    return spread(table(spark, sf_dir, "lineitem"), "l_orderkey").selectExpr("l_orderkey", "l_linenumber", f"{row} AS r").select("l_orderkey", "l_linenumber", F.array_join(T.collapse_row("r"), "|").alias("cells"))
 
 
 @query(f"""
@@ -68,7 +68,7 @@ def split_single_col(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows that came as one string."""
     t = f"""CASE l_linenumber % 3 WHEN 0 THEN 'As of June 05, 2024 ' || {one()} || ' —' WHEN 1 THEN 'Sales of kind ' || chr(65 + l_partkey % 26) || ' $ ' || {one()} || ' (' || {two()} || ') 12%'
       ELSE 'nothing but words' END AS t"""
-    return table(spark, sf_dir, "lineitem").selectExpr("l_orderkey", "l_linenumber", t).select("l_orderkey", "l_linenumber", F.array_join(T.split_line("t"), "|").alias("cells"))
+    return spread(table(spark, sf_dir, "lineitem"), "l_orderkey").selectExpr("l_orderkey", "l_linenumber", t).select("l_orderkey", "l_linenumber", F.array_join(T.split_line("t"), "|").alias("cells"))
 
 
 @query(f"""
@@ -107,7 +107,7 @@ def continuation_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     long = "transform(sequence(1, 15), i -> array('Item ' || i, cast(i AS string)))"
     t = f"""CASE c_custkey % 4 WHEN 0 THEN array({long}, array(array('More', '1'), array('Rest', '2'))) WHEN 1 THEN array({long}, array(array('Item 1', '1'), array('Rest', '2')))
       WHEN 2 THEN array({long}, array(array('A title of its own', ''), array('Rest', '2'))) ELSE array(slice({long}, 1, 5), array(array('More', '1'))) END AS t"""
-    c = table(spark, sf_dir, "customer").selectExpr("c_custkey", t).select("c_custkey", T.merge_pages("t").alias("m"))
+    c = spread(table(spark, sf_dir, "customer"), "c_custkey").selectExpr("c_custkey", t).select("c_custkey", T.merge_pages("t").alias("m"))
     return c.select("c_custkey", F.when(F.size("m") == 1, F.size(F.col("m")[0])).alias("merged_rows"), F.size("m").alias("n_tables"))
 
 
@@ -118,7 +118,7 @@ def prose_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = f"""CASE c_custkey % 5 WHEN 0 THEN transform(sequence(1, 51), i -> {words}) WHEN 1 THEN transform(sequence(1, 50), i -> {words}) WHEN 2 THEN transform(sequence(1, 60), i -> array('Line', '1,234', '5,678', '9,012'))
       WHEN 3 THEN transform(sequence(1, 6), i -> array('the company may', 'from time to time', 'be party to a', 'claim that it', 'did not expect', 'to be in'))
       ELSE array(array('{"a long paragraph that goes on and on " * 3}', ''), array('{"and another one that is as long as that " * 2}', '')) END AS t"""
-    return table(spark, sf_dir, "customer").selectExpr("c_custkey", t).select("c_custkey", T.prose_like("t").alias("prose"), T.paragraph_like("t").alias("paragraph"))
+    return spread(table(spark, sf_dir, "customer"), "c_custkey").selectExpr("c_custkey", t).select("c_custkey", T.prose_like("t").alias("prose"), T.paragraph_like("t").alias("paragraph"))
 
 
 @query(f"""

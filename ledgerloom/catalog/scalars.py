@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ledgerloom.catalog.registry import iso_date, money, query, table, words_date
+from ledgerloom.catalog.registry import iso_date, money, query, spread, table, words_date
 from ledgerloom.functions import labels as L, numbers as N
 
 
@@ -24,7 +24,7 @@ SELECT l_orderkey, l_linenumber, shown,
 FROM c""")
 def parse_numeric(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Printed amounts of all line items, read back."""
-    rows = table(spark, sf_dir, "lineitem").selectExpr("l_orderkey", "l_linenumber", f"{shown()} AS shown")
+    rows = spread(table(spark, sf_dir, "lineitem"), "l_orderkey").selectExpr("l_orderkey", "l_linenumber", f"{shown()} AS shown")
     return rows.select("l_orderkey", "l_linenumber", "shown", N.parse_numeric(F.col("shown")).alias("amount"))
 
 
