@@ -63,3 +63,14 @@ def test_sides_are_read_once_for_all_statements(spark, sf_dir):
 
     plan = items.three_statements(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join ") == 1
+
+
+def test_the_type_of_a_report_is_found_once(spark, monkeypatch):
+    from ledgerloom.plans import reports as plans
+
+    seen = []
+    keep = plans.written
+    monkeypatch.setattr(plans, "written", lambda df: (seen.append(df._jdf.queryExecution().optimizedPlan().toString()), keep(df))[1])
+    pages = spark.createDataFrame([("a", 1, "UNITED STATES SECURITIES AND EXCHANGE COMMISSION FORM 10-K and more words of no matter at all", None)], "filing_id string, page_number int, text string, tables array<array<array<string>>>")
+    assert plans.process_reports(spark, pages, "2024-01-01T00:00:00").documents.count() == 1
+    assert sum("Euronext" in p for p in seen) == 1
